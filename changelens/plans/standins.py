@@ -81,3 +81,43 @@ SCORED_LINES_SQL = (
     "CAST(l_returnflag = 'R' AS INTEGER) AS label, round(l_discount * 10, 6) AS p, "
     "round(l_tax * 12.5, 6) AS p2, l_linestatus FROM lineitem"
 )
+
+
+def scored_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """customer as a continuous score table: p = (acctbal + 1000) / 11000,
+    label = market segment BUILDING."""
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("commit"),
+                    (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label"),
+                    ((F.col("c_acctbal") + F.lit(1000.0)) / F.lit(11000.0)).alias("p"))
+
+
+SCORED_CUSTOMERS_SQL = (
+    "SELECT c_custkey AS commit, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS label, "
+    "(c_acctbal + 1000.0::DOUBLE) / 11000.0::DOUBLE AS p FROM customer"
+)
+
+
+def long_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Three 'models' over lineitem in long form (model, split, repo, label, p):
+    forest = 10 x discount, boosted = 12.5 x tax, vote = (forest + 2 boosted)/3;
+    split = test for open lines, val for the rest."""
+    from ..operators.evaluation import display_model, soft_vote
+    s = scored_lines(spark, sf).withColumn(
+        "split", F.when(F.col("l_linestatus") == "O", F.lit("test")).otherwise(F.lit("val")))
+    parts = [("Randomforest", F.col("p")), ("Xgboost", F.col("p2")),
+             ("Votingclassifier", soft_vote("p", "p2"))]
+    frames = [s.select(display_model(F.lit(m)).alias("model"), "split", "repo", "filepath", "commit",
+                       "line", "label", e.alias("p")) for m, e in parts]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+LONG_SCORES_SQL = (
+    "SELECT m.model, CASE WHEN l_linestatus = 'O' THEN 'test' ELSE 'val' END AS split, repo, filepath, "
+    "commit, line, label, CASE m.k WHEN 0 THEN p WHEN 1 THEN p2 "
+    "ELSE (1.0::DOUBLE * p + 2.0::DOUBLE * p2) / 3.0::DOUBLE END AS p "
+    f"FROM ({SCORED_LINES_SQL}) s, (VALUES (0, 'Random Forest'), (1, 'XGBoost'), (2, 'Voting Classifier')) m(k, model)"
+)
