@@ -121,3 +121,23 @@ LONG_SCORES_SQL = (
     "ELSE (1.0::DOUBLE * p + 2.0::DOUBLE * p2) / 3.0::DOUBLE END AS p "
     f"FROM ({SCORED_LINES_SQL}) s, (VALUES (0, 'Random Forest'), (1, 'XGBoost'), (2, 'Voting Classifier')) m(k, model)"
 )
+
+
+def doc_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """documents (+ labels): commit = doc id, repo = source, filepath =
+    ``<source>/doc<id>.<lang>`` (the language is the file type), label =
+    quality (NULL when unlabelled), pred = long document (>= 2000 chars)."""
+    d = table(spark, sf, "documents")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    return d.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("commit"), F.col("source").alias("repo"),
+        F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("filepath"),
+        F.col("text").alias("content_full"), F.col("text").alias("content_diff"),
+        F.col("quality").alias("label"), (F.col("n_chars") >= 2000).cast("int").alias("pred"))
+
+
+DOC_CHANGES_SQL = (
+    "SELECT d.doc_id AS commit, source AS repo, source || '/doc' || CAST(d.doc_id AS VARCHAR) || '.' || lang AS filepath, "
+    "text AS content_full, text AS content_diff, l.quality AS label, CAST(n_chars >= 2000 AS INTEGER) AS pred "
+    "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+)
