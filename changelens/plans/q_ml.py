@@ -1 +1,174 @@
-"""Registered queries."""
+"""Registered queries: preprocessing, TF-IDF / SVD, models (F1-F12, A8,
+A9, T1, L1-L7, E11)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.metrics import METRIC_NAMES, with_metrics
+from ..operators import preprocess as PP
+from ..operators import text_features as TF
+from . import sqlgen as S
+from .catalog import register, table
+
+LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+FLOAT_COLS = {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}
+
+
+@register("null_counts", rows="A8", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL"
+    + (f" OR isnan({c})" if c in FLOAT_COLS else "") + ")::BIGINT AS n_null FROM lineitem" for c in LINE_COLS))
+def null_counts(spark, sf):
+    return PP.null_counts(table(spark, sf, "lineitem"), LINE_COLS)
+
+
+def _metrics_sql_cte():
+    return S.metric_ctes("SELECT doc_id, text AS c FROM documents")
+
+
+@register("constant_columns", rows="A9,P9", sql=(
+    "WITH m AS (" + _metrics_sql_cte() + "SELECT "
+    + ", ".join(f"{e} AS {n}" for n, e in S.metric_sql().items()) + " FROM s3) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS column, (count({n}) > 0 AND min({n}) = max({n})) AS is_constant FROM m"
+                         for n in METRIC_NAMES)))
+def constant_columns(spark, sf):
+    """Constant-feature detection over the 33 metrics of every document."""
+    m = with_metrics(table(spark, sf, "documents").select("doc_id", "text"), "text", keep=False)
+    return PP.constant_columns(m, METRIC_NAMES)
+
+
+@register("impute_mean", rows="F1", sql=(
+    "SELECT d.doc_id, coalesce(l.quality::DOUBLE, avg(l.quality::DOUBLE) OVER ()) AS quality_imputed "
+    "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"))
+def impute_mean(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id").join(
+        table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return PP.impute_mean(d, ["quality"]).select("doc_id", "quality_imputed")
+
+
+@register("standard_scale", rows="F2", sql=(
+    "SELECT p_partkey, " + ", ".join(
+        f"round(({c}::DOUBLE - avg({c}::DOUBLE) OVER ()) / (CASE WHEN coalesce(stddev_pop({c}::DOUBLE) OVER (), 0) = 0 "
+        f"THEN 1.0 ELSE stddev_pop({c}::DOUBLE) OVER () END), 9) AS {c}" for c in ("p_size", "p_retailprice"))
+    + " FROM part"))
+def standard_scale(spark, sf):
+    p = table(spark, sf, "part")
+    prep = PP.NumericPrep.fit(p, ["p_size", "p_retailprice"])
+    return p.select("p_partkey", *[F.round(prep.scale(c), 9).alias(c) for c in ("p_size", "p_retailprice")])
+
+
+@register("variance_threshold", rows="F3", sql=(
+    "WITH m AS (" + _metrics_sql_cte() + "SELECT "
+    + ", ".join(f"{e} AS {n}" for n, e in S.metric_sql().items()) + " FROM s3) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS feature, coalesce(var_pop({n}::DOUBLE), 0) > 0 AS kept FROM m"
+                         for n in METRIC_NAMES)))
+def variance_threshold(spark, sf):
+    m = with_metrics(table(spark, sf, "documents").select("doc_id", "text"), "text", keep=False)
+    return PP.variance_threshold(m, METRIC_NAMES).select(
+        "feature", F.coalesce(F.col("kept"), F.lit(False)).alias("kept"))
+
+
+def _emb_long(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("label", F.posexplode("embedding").alias("feature", "value")).withColumn(
+        "value", F.col("value").cast("double"))
+
+
+_ANOVA_SQL = (
+    "WITH l AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS value "
+    "FROM embeddings), "
+    "p AS (SELECT feature, label, count(value) AS n, sum(value) AS s, sum(value * value) AS ss FROM l GROUP BY 1, 2), "
+    "t AS (SELECT feature, sum(n) AS N, count(*) AS k, sum(s) AS S, sum(ss) AS SS, sum(s * s / n) AS B FROM p GROUP BY 1), "
+    "f AS (SELECT feature, (B - S * S / N) / (k - 1) AS msb, ((SS - S * S / N) - (B - S * S / N)) / (N - k) AS msw FROM t) "
+    "SELECT feature::INTEGER AS feature, round(CASE WHEN msw = 0 THEN NULL ELSE msb / msw END, 6) AS f_score FROM f"
+)
+
+
+@register("anova_f_scores", rows="F4", sql=_ANOVA_SQL)
+def anova_f_scores(spark, sf):
+    return PP.anova_f(_emb_long(spark, sf)).select(
+        F.col("feature").cast("int"), F.round("f_score", 6).alias("f_score"))
+
+
+@register("top_importance", rows="T1,S9", sql=f"SELECT * FROM ({_ANOVA_SQL}) ORDER BY f_score DESC, feature ASC LIMIT 20")
+def top_importance(spark, sf):
+    """Top-20 feature scores (the ANOVA score table stands in for an
+    importance table; same ordering rule)."""
+    s = PP.anova_f(_emb_long(spark, sf)).select(F.col("feature").cast("int"), F.round("f_score", 6).alias("f_score"))
+    return s.orderBy(F.col("f_score").desc(), F.col("feature").asc()).limit(20)
+
+
+@register("one_hot", rows="F5,F6", sql=(
+    "SELECT p_partkey, (dense_rank() OVER (ORDER BY coalesce(p_brand, 'missing')) - 1)::INTEGER AS brand_index, "
+    "(SELECT count(DISTINCT coalesce(p_brand, 'missing')) FROM part)::INTEGER AS n_categories FROM part"))
+def one_hot(spark, sf):
+    p = table(spark, sf, "part")
+    cats = PP.one_hot_fit(p, "p_brand")
+    return p.select("p_partkey", PP.one_hot_index("p_brand", cats).cast("int").alias("brand_index"),
+                    F.lit(len(cats)).cast("int").alias("n_categories"))
+
+
+_TOK_SQL = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+')"
+
+
+def _ngram_sql(tok: str) -> str:
+    parts = [f"(CASE WHEN len({tok}) >= {n} THEN list_transform(range(1, len({tok}) - {n} + 2), "
+             f"lambda i: array_to_string({tok}[i:i + {n - 1}], ' ')) ELSE []::VARCHAR[] END)" for n in (1, 2, 3)]
+    return "list_concat(" + ", ".join(parts) + ")"
+
+
+@register("ngrams", rows="F7", sql=(
+    f"WITH t AS (SELECT item_id, {_TOK_SQL} AS tok FROM benchmark), g AS (SELECT item_id, {_ngram_sql('tok')} AS grams FROM t) "
+    "SELECT item_id, generate_subscripts(grams, 1)::INTEGER AS pos, unnest(grams) AS term FROM g"))
+def ngrams(spark, sf):
+    b = table(spark, sf, "benchmark")
+    t = TF.with_tokens(b.select("item_id", "text"), "text", "tok")
+    return t.select("item_id", F.posexplode(TF.ngrams("tok")).alias("pos", "term")).withColumn(
+        "pos", (F.col("pos") + 1).cast("int"))
+
+
+def _tf_sql(src: str, id_col: str) -> str:
+    return (f"WITH t AS (SELECT {id_col}, {_TOK_SQL} AS tok FROM {src}), "
+            f"g AS (SELECT {id_col}, unnest({_ngram_sql('tok')}) AS term FROM t), "
+            f"tf AS (SELECT {id_col}, term, count(*) AS tf FROM g GROUP BY 1, 2), "
+            f"nd AS (SELECT count(*) AS n FROM {src}), "
+            f"st AS (SELECT term, count({id_col}) AS df, sum(tf) AS cf FROM tf GROUP BY term), "
+            "kept AS (SELECT * FROM st, nd WHERE df >= 1 AND df <= 0.7::DOUBLE * n), "
+            "top AS (SELECT term, df, cf FROM kept ORDER BY cf DESC, term ASC LIMIT 12000), "
+            "voc AS (SELECT term, df, cf, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS \"index\" FROM top) ")
+
+
+@register("tfidf_vocabulary", rows="F8", sql=_tf_sql("documents", "doc_id") + 'SELECT term, df::BIGINT AS df, cf::BIGINT AS cf, "index" FROM voc')
+def tfidf_vocabulary(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    tf = TF.term_counts(d, "doc_id", "text")
+    v = TF.vocabulary(tf, "doc_id", d.count())
+    return v.select("term", F.col("df").cast("long"), F.col("cf").cast("long"), "index")
+
+
+@register("tfidf_weights", rows="F9", sql=_tf_sql("benchmark", "item_id") + (
+    ", w AS (SELECT tf.item_id, voc.\"index\", tf.term, (1.0 + ln(tf.tf::DOUBLE)) * (ln((SELECT n + 1 FROM nd)::DOUBLE / (voc.df + 1)::DOUBLE) + 1.0) AS w "
+    "FROM tf JOIN voc ON tf.term = voc.term) "
+    "SELECT item_id, \"index\", term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 9) AS weight FROM w"))
+def tfidf_weights(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    n = b.count()
+    tf = TF.term_counts(b, "item_id", "text")
+    v = TF.vocabulary(tf, "item_id", n)
+    w = TF.tfidf(tf, v, "item_id", n)
+    return w.withColumn("weight", F.round("weight", 9))
+
+
+@register("svd_project", rows="F10")
+def svd_project(spark, sf):
+    """Rows-only: SVD signs/rotations are not a SQL result.  Truncated SVD
+    (k <= 50) of the document TF-IDF matrix, rows projected onto it."""
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    n = b.count()
+    tf = TF.term_counts(b, "item_id", "text")
+    v = TF.vocabulary(tf, "item_id", n).cache()
+    n_terms = v.count()
+    w = TF.tfidf(tf, v, "item_id", n)
+    comps = TF.svd_components(w, "item_id", n_terms, k=min(50, max(1, n - 1)))
+    return TF.svd_project(w, comps, "item_id")
