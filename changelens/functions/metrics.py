@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.parallel import spread
 from . import text as T
 
 # Metric names, in the reference's output order.
@@ -79,16 +80,20 @@ def _entropy(tok: Column) -> Column:
 
 
 def _metric_columns(c: Column, ln: Column, nb: Column, tok: Column, ind: Column,
-                    nbs: Column) -> dict[str, Column]:
+                    nbs: Column, low: Column) -> dict[str, Column]:
     loc = F.size(ln)
     n_nb = F.size(nb)
     num_comments = T.count_sub(c, "#")
     num_empty = loc - n_nb
-    num_todo = F.size(F.filter(ln, lambda l: T.contains(l, "#") & (
-        T.contains(F.lower(l), TODO_WORDS[0]) | T.contains(F.lower(l), TODO_WORDS[1]))))
-    low = F.lower(c)
-    decision = F.size(F.filter(nb, lambda l: _any_contains(l, DECISION_KEYWORDS)))
-    words = F.aggregate(nb, F.lit(0).cast("long"), lambda a, l: a + F.size(T.tokens(l)))
+    # whole-text guards skip the per-line scans when no line can match
+    num_todo = F.when(~T.contains(c, "#") | ~(T.contains(low, TODO_WORDS[0]) | T.contains(low, TODO_WORDS[1])),
+                      F.lit(0)).otherwise(F.size(F.filter(ln, lambda l: T.contains(l, "#") & _any_contains(
+                          F.lower(l), TODO_WORDS))))
+    decision = F.when(~_any_contains(c, DECISION_KEYWORDS), F.lit(0)).otherwise(
+        F.size(F.filter(nb, lambda l: _any_contains(l, DECISION_KEYWORDS))))
+    # tokens never span lines and blank lines have none: the words of the
+    # non-blank lines are exactly the tokens of the text
+    words = F.size(tok)
     line_chars = F.aggregate(ln, F.lit(0).cast("long"), lambda a, l: a + F.length(l))
     ind_sum = F.aggregate(ind, F.lit(0).cast("long"), lambda a, x: a + x)
     return {
@@ -112,7 +117,7 @@ def _metric_columns(c: Column, ln: Column, nb: Column, tok: Column, ind: Column,
         "code_density": T.safe_div(loc - num_empty, loc),
         "token_entropy": _entropy(tok),
         "num_indent_levels": F.size(F.array_distinct(ind)).cast("long"),
-        "has_tab_mix": _flag(F.exists(ln, lambda l: T.contains(l, "\t") & l.startswith(" "))),
+        "has_tab_mix": _flag(T.contains(c, "\t") & F.exists(ln, lambda l: T.contains(l, "\t") & l.startswith(" "))),
         "has_unclosed_parens": _flag(T.count_sub(c, "(") != T.count_sub(c, ")")),
         "repetition_score": T.safe_div(F.size(nbs) - F.size(F.array_distinct(nbs)), F.size(nbs)),
         "num_decision_points": decision.cast("long"),
@@ -139,23 +144,27 @@ def _any_contains(l: Column, subs: list[str]) -> Column:
 
 
 def with_metrics(df: DataFrame, content: str, suffix: str = "",
-                 names: list[str] | None = None, keep: bool = True) -> DataFrame:
+                 names: list[str] | None = None, keep: bool = True,
+                 spread_input: bool = True) -> DataFrame:
     """Append the metrics of string column ``content`` as ``<name><suffix>``.
 
     A null text gives the all-zero row (M34).  Helper arrays are dropped.
     """
     names = names or METRIC_NAMES
+    if spread_input:
+        df = spread(df)
     h = f"__m{suffix}_"
     base = df.columns if keep else []
     staged = (
         df.withColumn(h + "ln", T.lines(content))
           .withColumn(h + "nb", F.filter(F.col(h + "ln"), lambda l: ~T.is_blank(l)))
           .withColumn(h + "tok", T.tokens(content))
+          .withColumn(h + "low", F.lower(F.col(content)))
     )
     staged = (staged.withColumn(h + "ind", F.transform(F.col(h + "nb"), T.indent))
                     .withColumn(h + "nbs", F.transform(F.col(h + "nb"), T.strip)))
     cols = _metric_columns(F.col(content), F.col(h + "ln"), F.col(h + "nb"), F.col(h + "tok"),
-                           F.col(h + "ind"), F.col(h + "nbs"))
+                           F.col(h + "ind"), F.col(h + "nbs"), F.col(h + "low"))
     zero = {"int": F.lit(0), "long": F.lit(0).cast("long"), "double": F.lit(0.0)}
     out = [F.coalesce(cols[n].cast(metric_type(n)), zero[metric_type(n)].cast(metric_type(n)))
            .alias(n + suffix) for n in names]
@@ -165,4 +174,4 @@ def with_metrics(df: DataFrame, content: str, suffix: str = "",
 def metrics_two_sided(df: DataFrame, full: str = "content_full",
                       diff: str = "content_diff") -> DataFrame:
     """All metrics on both texts, suffixed ``_full`` / ``_diff``."""
-    return with_metrics(with_metrics(df, full, "_full"), diff, "_diff")
+    return with_metrics(with_metrics(df, full, "_full"), diff, "_diff", spread_input=False)

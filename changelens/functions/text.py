@@ -25,6 +25,10 @@ def _cls(chars: str) -> str:
 
 WS_CLASS = _cls(WS_CHARS)
 LINE_SPLIT_RE = "\\r\\n|" + _cls(LINE_BREAK_CHARS)
+_OTHER_BREAKS = LINE_BREAK_CHARS.replace("\n", "")
+_NON_SPACE_WS = WS_CHARS.replace(" ", "")
+# every line break is also whitespace, so no token spans two lines
+assert set(LINE_BREAK_CHARS) <= set(WS_CHARS)
 
 
 def as_col(c) -> Column:
@@ -32,8 +36,13 @@ def as_col(c) -> Column:
 
 
 def lines(c) -> Column:
-    """``c.splitlines()``: split on every break, drop one trailing empty part."""
-    parts = F.split(as_col(c), LINE_SPLIT_RE, -1)
+    """``c.splitlines()``: split on every break, drop one trailing empty part.
+
+    "\r\n" is folded to "\n" and every other break character is translated
+    to "\n", so the split is a single-character split (no regex engine)."""
+    folded = F.translate(F.replace(as_col(c), F.lit("\r\n"), F.lit("\n")), _OTHER_BREAKS,
+                         "\n" * len(_OTHER_BREAKS))
+    parts = F.split(folded, "\n", -1)
     return F.when(F.element_at(parts, -1) == F.lit(""),
                   F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
@@ -48,17 +57,20 @@ def is_blank(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """``c.split()``: whitespace-separated tokens, ``[]`` for blank text."""
-    s = strip(c)
-    return F.when(s == F.lit(""), F.array().cast("array<string>")).otherwise(
-        F.split(s, WS_CLASS + "+", -1))
+    """``c.split()``: every whitespace character becomes a space, the text
+    is split on single spaces and the empty pieces are removed."""
+    spaced = F.translate(as_col(c), _NON_SPACE_WS, " " * len(_NON_SPACE_WS))
+    return F.array_remove(F.split(spaced, " ", -1), F.lit(""))
 
 
 def count_sub(c, sub: str) -> Column:
-    """``c.count(sub)``: non-overlapping occurrences of a literal."""
+    """``c.count(sub)``: non-overlapping occurrences of a literal.
+
+    Removing k occurrences removes k * bytes(sub) bytes, and byte lengths
+    are O(1) on Spark strings (character lengths need a scan)."""
     c = as_col(c)
-    return ((F.length(c) - F.length(F.replace(c, F.lit(sub), F.lit("")))) /
-            F.lit(len(sub))).cast("long")
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(sub), F.lit("")))) /
+            F.lit(len(sub.encode("utf-8")))).cast("long")
 
 
 def contains(c, sub: str) -> Column:
