@@ -15,7 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-TOKEN_RE = "(?U)\\w+"   # maximal word runs == \b\w+\b
+from .parallel import spread
+
+# Python's \w on str is "alphanumeric or underscore": letters, numbers and
+# '_' (Java's (?U)\w also takes marks and connector punctuation).  Maximal
+# runs of it are exactly the \b\w+\b matches.
+TOKEN_RE = "[\\p{L}\\p{N}_]+"
+
+
+# Combining marks, collected by rule from the Unicode database.
+_COMBINING = {c: None for c in range(0x110000) if unicodedata.combining(chr(c))}
 
 
 @F.pandas_udf(StringType())
@@ -23,10 +32,9 @@ def strip_accents(s: pd.Series) -> pd.Series:
     """NFKD, then drop combining marks (the 'unicode' accent strip).
     Arrow-batched; the only Python step on the text path."""
     def one(x):
-        if x is None:
-            return None
-        n = unicodedata.normalize("NFKD", x)
-        return x if n == x and x.isascii() else "".join(c for c in n if not unicodedata.combining(c))
+        if x is None or x.isascii():
+            return x
+        return unicodedata.normalize("NFKD", x).translate(_COMBINING)
     return s.map(one)
 
 
@@ -36,19 +44,19 @@ def word_tokens(text) -> Column:
     return F.regexp_extract_all(strip_accents(F.lower(t)), F.lit(TOKEN_RE), 0)
 
 
-def _gram_at(tok: Column, n: int):
-    # one-argument lambda: transform() passes (element, index) to two-argument ones
-    return lambda i: F.array_join(F.slice(tok, i, F.lit(n)), " ")
-
-
-def ngrams(tokens, n_min: int = 1, n_max: int = 3) -> Column:
-    """All n-grams for n in [n_min, n_max], word order, space-joined."""
-    tok = F.col(tokens) if isinstance(tokens, str) else tokens
+def with_ngrams(df: DataFrame, tokens: str, out: str = "grams", n_min: int = 1,
+                n_max: int = 3) -> DataFrame:
+    """Add ``out``: the 1..3-grams of ``tokens`` in order (n-major, like the
+    reference's analyzer), each a space-joined string."""
+    from pyspark.ml.feature import NGram
     parts = []
     for n in range(n_min, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1), _gram_at(tok, n))
-        parts.append(F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+        if n == 1:
+            parts.append(F.col(tokens))
+            continue
+        df = NGram(n=n, inputCol=tokens, outputCol=f"__g{n}").transform(df)
+        parts.append(F.col(f"__g{n}"))
+    return df.withColumn(out, F.concat(*parts)).drop(*[f"__g{n}" for n in range(2, n_max + 1)])
 
 
 def with_tokens(docs: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
@@ -59,8 +67,11 @@ def with_tokens(docs: DataFrame, text_col: str, out: str = "tokens") -> DataFram
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, n_max: int = 3) -> DataFrame:
     """(doc, term, tf): one shuffle of the n-grams, combined map-side."""
-    t = with_tokens(docs.select(id_col, text_col), text_col, "__tok")
-    g = t.select(id_col, F.explode(ngrams("__tok", 1, n_max)).alias("term"))
+    t = with_tokens(spread(docs.select(id_col, text_col)), text_col, "__tok")
+    # explode_outer: a plain explode makes Catalyst infer a size(...) > 0
+    # filter and push it (and the Python accent strip) below the spread
+    g = (with_ngrams(t, "__tok", "__grams", 1, n_max)
+         .select(id_col, F.explode_outer("__grams").alias("term")).where(F.col("term").isNotNull()))
     return g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

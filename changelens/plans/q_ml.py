@@ -123,8 +123,8 @@ def _ngram_sql(tok: str) -> str:
     "SELECT item_id, generate_subscripts(grams, 1)::INTEGER AS pos, unnest(grams) AS term FROM g"))
 def ngrams(spark, sf):
     b = table(spark, sf, "benchmark")
-    t = TF.with_tokens(b.select("item_id", "text"), "text", "tok")
-    return t.select("item_id", F.posexplode(TF.ngrams("tok")).alias("pos", "term")).withColumn(
+    t = TF.with_ngrams(TF.with_tokens(b.select("item_id", "text"), "text", "tok"), "tok")
+    return t.select("item_id", F.posexplode("grams").alias("pos", "term")).withColumn(
         "pos", (F.col("pos") + 1).cast("int"))
 
 
