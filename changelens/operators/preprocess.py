@@ -157,5 +157,5 @@ def one_hot_vector_stage(col: str, out: str):
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     idx = StringIndexer(inputCol=col, outputCol=col + "__idx", handleInvalid="keep",
                         stringOrderType="alphabetAsc")
-    enc = OneHotEncoder(inputCols=[col + "__idx"], outputCols=[out], dropLast=True, handleInvalid="keep")
+    enc = OneHotEncoder(inputCols=[col + "__idx"], outputCols=[out], dropLast=True)
     return [idx, enc]
