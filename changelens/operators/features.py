@@ -29,7 +29,9 @@ def feature_table(df: DataFrame, keep: list[str] | None = None,
     require_columns(df, REQUIRED)
     keep = keep or []
     ts = C.ensure_timestamp(df, "datetime")
-    base = df.select(*keep, "repo", "filepath", "commit" if "commit" in df.columns else F.lit(None).alias("commit"),
+    own = ["repo", "filepath", "commit"]
+    commit = F.col("commit") if "commit" in df.columns else F.lit(None).cast("string").alias("commit")
+    base = df.select(*[c for c in keep if c not in own], "repo", "filepath", commit,
                      ts.alias("__ts"), "content_full", "content_diff")
     m = with_metrics(with_metrics(base, "content_full", "_full"), "content_diff", "_diff")
     m = (m.withColumn("commit_hour", C.commit_hour("__ts").cast("int"))

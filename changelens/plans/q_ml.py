@@ -172,3 +172,68 @@ def svd_project(spark, sf):
     w = TF.tfidf(tf, v, "item_id", n)
     comps = TF.svd_components(w, "item_id", n_terms, k=min(50, max(1, n - 1)))
     return TF.svd_project(w, comps, "item_id")
+
+
+# ------------------------------------------------------ model queries (rows-only)
+
+def _small_config():
+    from .jobs import Config
+    # check-size settings: the reference's forest/boosting sizes (500 trees,
+    # 500 rounds of depth 15) are the library defaults; the registered query
+    # uses small ones so the correctness run stays short.
+    return Config(models=("RandomForest", "XGBoost", "VotingClassifier"),
+                  rf_params={"numTrees": 30, "featureSubsetStrategy": "sqrt", "subsamplingRate": 0.9, "maxDepth": 10},
+                  gbt_params={"maxIter": 10, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
+                              "featureSubsetStrategy": "0.7"},
+                  max_features=2000, svd_k=10, test_pct=0.2, val_pct=0.2)
+
+
+@register("model_scores", rows="L1-L7,B1,F1-F12,R1-R5,J1,P3-P5,S1")
+def model_scores(spark, sf):
+    """The training flow on documents + labels: join, label, resample,
+    features, preprocessing, SMOTE, three calibrated models; returns the
+    long score table (model, split, repo, filepath, commit, label, p)."""
+    from . import standins as SI
+    from .jobs import train
+    line, jit = SI.doc_splits(spark, sf)
+    return train(spark, line, jit, _small_config())["scores"]
+
+
+@register("smote_oversample", rows="B1")
+def smote_oversample(spark, sf):
+    """SMOTE over the embeddings: class 0 against the rest, minority
+    oversampled to parity with LSH neighbours (k = 5)."""
+    from pyspark.ml.functions import array_to_vector
+    from ..operators.smote import smote
+    e = table(spark, sf, "embeddings")
+    v = e.select(F.col("vec_id").cast("string").alias("id"), array_to_vector("embedding").alias("features"),
+                 (F.col("label") == 0).cast("int").alias("label"))
+    return smote(v, "id")
+
+
+@register("permutation_importance", rows="E11,R6,T1")
+def permutation_importance(spark, sf):
+    """Permutation importance of the raw part attributes for a forest that
+    predicts large parts (size > 25) from price and brand/type indices."""
+    from ..operators import models as MD
+    from pyspark.ml.feature import VectorAssembler
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_brand", "p_type",
+                                        (F.col("p_size") > 25).cast("int").alias("label"))
+    brands = PP.one_hot_fit(p, "p_brand")
+    types = PP.one_hot_fit(p, "p_type")
+
+    def vec(df):
+        d = df.withColumn("b", PP.one_hot_index("p_brand", brands).cast("double")).withColumn(
+            "t", PP.one_hot_index("p_type", types).cast("double")).fillna(-1.0, ["b", "t"])
+        return VectorAssembler(inputCols=["p_retailprice", "b", "t"], outputCol="features").transform(d)
+
+    tr = vec(p).withColumn("__w", F.lit(1.0))
+    model = MD.make_estimator("rf", {"numTrees": 30, "maxDepth": 8}).fit(tr)
+
+    def score(df):
+        out = model.transform(vec(df))
+        return out.withColumn("pred", F.col("prediction").cast("int"))
+
+    from ..operators.sampling import seeded_subset
+    sample = seeded_subset(p, 2000, ["p_partkey"])
+    return MD.permutation_importance(sample, ["p_retailprice", "p_brand", "p_type"], score, "p_partkey", 10)

@@ -141,3 +141,30 @@ DOC_CHANGES_SQL = (
     "text AS content_full, text AS content_diff, l.quality AS label, CAST(n_chars >= 2000 AS INTEGER) AS pred "
     "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 )
+
+
+def doc_splits(spark: SparkSession, sf: str) -> tuple[dict, dict]:
+    """The reference's six inputs built from documents + labels: each
+    document is a change (commit = doc id, repo = source, path from
+    language); the full side is its text as bytes, the diff side its
+    cleaned-free first paragraph (text before the first blank line), the
+    changed-line list is [1] for low-quality documents, [] otherwise;
+    splits are md5 thirds of the document ids."""
+    from ..operators.sampling import md5_key
+    d = table(spark, sf, "documents")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    x = d.join(lab, "doc_id", "left").withColumn(
+        "split", F.when(F.conv(F.substring(md5_key(["doc_id"]), 1, 6), 16, 10).cast("long") % 3 == 0, F.lit("test"))
+        .when(F.conv(F.substring(md5_key(["doc_id"]), 1, 6), 16, 10).cast("long") % 3 == 1, F.lit("val"))
+        .otherwise(F.lit("train")))
+    keys = [F.col("doc_id").cast("string").alias("commit"), F.col("source").alias("repo"),
+            F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"),
+                     F.lit(".py")).alias("filepath")]
+    line = x.select(*keys, F.col("text").cast("binary").alias("content"), "split")
+    diff_text = F.split(F.col("text"), "\n\n", 2).getItem(0)
+    jit = x.select(*keys, diff_text.cast("binary").alias("content"),
+                   F.when(F.col("quality") == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("lines"),
+                   F.lit(None).cast("string").alias("datetime"), F.array().cast("array<string>").alias("methods"), "split")
+    sp = ("train", "test", "val")
+    return ({s: line.where(F.col("split") == s).drop("split") for s in sp},
+            {s: jit.where(F.col("split") == s).drop("split") for s in sp})
