@@ -57,6 +57,7 @@ class Config:
     importance_rows: int = 2000
     importance_repeats: int = 10
     smote: bool = True
+    check_sizes: bool = True     # A12; the 0.01 share tolerance needs more than ~50 test rows
 
 
 # ------------------------------------------------------------------ data
@@ -103,7 +104,8 @@ def prepare_splits(line: dict, jit: dict, conf: Config) -> dict[str, DataFrame]:
     out["val"] = SM.fraction_sample(out["val"], conf.data_fraction, keys, conf.seed)
     train = SM.balance_classes(sp["train"], keys, "label", conf.train_downsample_replace, conf.seed)
     out["train"] = SM.fraction_sample(train, conf.data_fraction, keys, conf.seed)
-    check_sizes(out["test"], out["val"], sum(sizes["test"].values()), conf.test_class1_ratio)
+    if conf.check_sizes:
+        check_sizes(out["test"], out["val"], sum(sizes["test"].values()), conf.test_class1_ratio)
     return out
 
 
