@@ -53,6 +53,7 @@ class Preprocessor:
     numeric: PP.NumericPrep
     categories: dict = field(default_factory=dict)
     text: list = field(default_factory=list)
+    n_docs: int = 0          # training corpus size: the idf is fitted state
 
     @staticmethod
     def fit(df: DataFrame, id_col: str, numeric: list[str], categorical: list[str],
@@ -63,16 +64,16 @@ class Preprocessor:
         branches = []
         n_docs = df.count()
         for name, col in (text or {}).items():
-            tf = cut_lineage(TF.term_counts(df, id_col, col))
-            vocab = TF.vocabulary(tf, id_col, n_docs, max_features, 1, max_df).cache()
+            grams = cut_lineage(TF.doc_grams(df, id_col, col))
+            vocab = TF.vocabulary(TF.term_stats(grams), n_docs, max_features, 1, max_df).cache()
             n_terms = vocab.count()
             if n_terms < 2:
                 continue
-            w = cut_lineage(TF.tfidf(tf, vocab, id_col, n_docs))
+            w = cut_lineage(TF.tfidf(TF.term_counts(grams, id_col, vocab), vocab, id_col, n_docs))
             kk = max(1, min(k, n_terms - 1, n_docs - 1))
             comps = TF.svd_components(w, id_col, n_terms, kk).cache()
             branches.append(TextBranch(name, col, vocab, comps, kk))
-        return Preprocessor(id_col, num, cats, branches)
+        return Preprocessor(id_col, num, cats, branches, n_docs)
 
     def feature_names(self) -> list[str]:
         """kept numeric names, one-hot names, text component names."""
@@ -92,8 +93,8 @@ class Preprocessor:
             cols += [F.coalesce((idx == i).cast("double"), F.lit(0.0)).alias(f"{c}_{v}") for i, v in enumerate(cats)]
         base = df.select(*cols)
         for b in self.text:
-            n_docs = df.count()
-            tf = TF.term_counts(df, self.id_col, b.column)
+            n_docs = self.n_docs
+            tf = TF.term_counts(TF.doc_grams(df, self.id_col, b.column), self.id_col, b.vocab)
             w = TF.tfidf(tf, b.vocab, self.id_col, n_docs)
             proj = TF.svd_project(w, b.comps, self.id_col)
             wide = proj.groupBy(self.id_col).pivot("component", list(range(b.k))).agg(F.first("value"))

@@ -65,21 +65,39 @@ def with_tokens(docs: DataFrame, text_col: str, out: str = "tokens") -> DataFram
     return norm.withColumn(out, F.regexp_extract_all(F.col("__norm"), F.lit(TOKEN_RE), 0)).drop("__norm")
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, n_max: int = 3) -> DataFrame:
-    """(doc, term, tf): one shuffle of the n-grams, combined map-side."""
+def doc_grams(docs: DataFrame, id_col: str, text_col: str, n_max: int = 3) -> DataFrame:
+    """(doc, grams): the 1..n_max-grams of each document, in order."""
     t = with_tokens(spread(docs.select(id_col, text_col)), text_col, "__tok")
-    # explode_outer: a plain explode makes Catalyst infer a size(...) > 0
-    # filter and push it (and the Python accent strip) below the spread
-    g = (with_ngrams(t, "__tok", "__grams", 1, n_max)
-         .select(id_col, F.explode_outer("__grams").alias("term")).where(F.col("term").isNotNull()))
+    return with_ngrams(t, "__tok", "grams", 1, n_max).select(id_col, "grams")
+
+
+def term_stats(grams: DataFrame) -> DataFrame:
+    """(term, df, cf): documents containing the term and its total count.
+
+    Keyed by term only, so partial aggregation combines map-side across
+    documents (a (doc, term) key would hardly combine).  explode_outer: a
+    plain explode makes Catalyst infer a size(...) > 0 filter and push it,
+    with the Python accent strip, below the spread."""
+    occ = grams.select(F.explode_outer("grams").alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))
+    first = grams.select(F.explode_outer(F.array_distinct("grams")).alias("term"), F.lit(0).alias("o"),
+                         F.lit(1).alias("d"))
+    both = occ.unionByName(first).where(F.col("term").isNotNull())
+    return both.groupBy("term").agg(F.sum("d").cast("long").alias("df"), F.sum("o").cast("long").alias("cf"))
+
+
+def term_counts(grams: DataFrame, id_col: str, vocab: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf), restricted to the vocabulary when one is given
+    (a broadcast semi-join on <= max_features terms before the shuffle)."""
+    g = grams.select(id_col, F.explode_outer("grams").alias("term")).where(F.col("term").isNotNull())
+    if vocab is not None:
+        g = g.join(F.broadcast(vocab.select("term")), "term", "left_semi")
     return g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(tf: DataFrame, id_col: str, n_docs: int, max_features: int = 12000,
+def vocabulary(stats: DataFrame, n_docs: int, max_features: int = 12000,
                min_df: int = 1, max_df: float = 0.7) -> DataFrame:
     """F8: keep terms with min_df <= df <= max_df * n_docs, then the
     ``max_features`` most frequent (ties by term); index = alphabetical."""
-    stats = tf.groupBy("term").agg(F.count(id_col).alias("df"), F.sum("tf").alias("cf"))
     high = max_df * n_docs if isinstance(max_df, float) else max_df
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(high))))
     top = kept.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)

@@ -209,6 +209,7 @@ def save_calibrated(cm: MD.CalibratedModel, path: str) -> None:
     pre = cm.preprocessor
     if pre is not None:
         meta["pre"] = {"id_col": pre.id_col, "numeric": asdict(pre.numeric), "categories": pre.categories,
+                       "n_docs": pre.n_docs,
                        "text": [{"name": t.name, "column": t.column, "k": t.k} for t in pre.text]}
         for t in pre.text:
             t.vocab.write.mode("overwrite").parquet(os.path.join(path, f"{t.name}_vocab"))
@@ -233,7 +234,7 @@ def load_calibrated(spark: SparkSession, path: str) -> MD.CalibratedModel:
         m = meta["pre"]
         text = [MD.TextBranch(t["name"], t["column"], spark.read.parquet(os.path.join(path, f"{t['name']}_vocab")),
                               spark.read.parquet(os.path.join(path, f"{t['name']}_comps")), t["k"]) for t in m["text"]]
-        pre = MD.Preprocessor(m["id_col"], NumericPrep(**m["numeric"]), m["categories"], text)
+        pre = MD.Preprocessor(m["id_col"], NumericPrep(**m["numeric"]), m["categories"], text, m.get("n_docs", 0))
     return MD.CalibratedModel(parts, pre)
 
 

@@ -142,21 +142,24 @@ def _tf_sql(src: str, id_col: str) -> str:
 @register("tfidf_vocabulary", rows="F8", sql=_tf_sql("documents", "doc_id") + 'SELECT term, df::BIGINT AS df, cf::BIGINT AS cf, "index" FROM voc')
 def tfidf_vocabulary(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    tf = TF.term_counts(d, "doc_id", "text")
-    v = TF.vocabulary(tf, "doc_id", d.count())
+    v = TF.vocabulary(TF.term_stats(TF.doc_grams(d, "doc_id", "text")), d.count())
     return v.select("term", F.col("df").cast("long"), F.col("cf").cast("long"), "index")
 
 
+def _tfidf(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    n = b.count()
+    grams = TF.doc_grams(b, "item_id", "text")
+    v = TF.vocabulary(TF.term_stats(grams), n)
+    return TF.tfidf(TF.term_counts(grams, "item_id", v), v, "item_id", n), v
+
+
 @register("tfidf_weights", rows="F9", sql=_tf_sql("benchmark", "item_id") + (
     ", w AS (SELECT tf.item_id, voc.\"index\", tf.term, (1.0 + ln(tf.tf::DOUBLE)) * (ln((SELECT n + 1 FROM nd)::DOUBLE / (voc.df + 1)::DOUBLE) + 1.0) AS w "
     "FROM tf JOIN voc ON tf.term = voc.term) "
     "SELECT item_id, \"index\", term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 9) AS weight FROM w"))
 def tfidf_weights(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", "text")
-    n = b.count()
-    tf = TF.term_counts(b, "item_id", "text")
-    v = TF.vocabulary(tf, "item_id", n)
-    w = TF.tfidf(tf, v, "item_id", n)
+    w, _ = _tfidf(spark, sf)
     return w.withColumn("weight", F.round("weight", 9))
 
 
@@ -164,12 +167,10 @@ def tfidf_weights(spark, sf):
 def svd_project(spark, sf):
     """Rows-only: SVD signs/rotations are not a SQL result.  Truncated SVD
     (k <= 50) of the document TF-IDF matrix, rows projected onto it."""
-    b = table(spark, sf, "benchmark").select("item_id", "text")
-    n = b.count()
-    tf = TF.term_counts(b, "item_id", "text")
-    v = TF.vocabulary(tf, "item_id", n).cache()
+    w, v = _tfidf(spark, sf)
+    w = w.cache()
     n_terms = v.count()
-    w = TF.tfidf(tf, v, "item_id", n)
+    n = w.select("item_id").distinct().count()
     comps = TF.svd_components(w, "item_id", n_terms, k=min(50, max(1, n - 1)))
     return TF.svd_project(w, comps, "item_id")
 
