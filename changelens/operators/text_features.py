@@ -78,11 +78,14 @@ def term_stats(grams: DataFrame) -> DataFrame:
     documents (a (doc, term) key would hardly combine).  explode_outer: a
     plain explode makes Catalyst infer a size(...) > 0 filter and push it,
     with the Python accent strip, below the spread."""
-    occ = grams.select(F.explode_outer("grams").alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))
-    first = grams.select(F.explode_outer(F.array_distinct("grams")).alias("term"), F.lit(0).alias("o"),
-                         F.lit(1).alias("d"))
-    both = occ.unionByName(first).where(F.col("term").isNotNull())
-    return both.groupBy("term").agg(F.sum("d").cast("long").alias("df"), F.sum("o").cast("long").alias("cf"))
+    # one pass over the grams: every occurrence counts towards cf, the
+    # first one per document (array_distinct) towards df
+    tagged = F.concat(F.transform("grams", lambda g: F.struct(g.alias("t"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
+                      F.transform(F.array_distinct("grams"),
+                                  lambda g: F.struct(g.alias("t"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
+    both = grams.select(F.explode_outer(tagged).alias("x")).where(F.col("x").isNotNull()).select("x.*")
+    return both.groupBy(F.col("t").alias("term")).agg(F.sum("d").cast("long").alias("df"),
+                                                      F.sum("o").cast("long").alias("cf"))
 
 
 def term_counts(grams: DataFrame, id_col: str, vocab: DataFrame | None = None) -> DataFrame:

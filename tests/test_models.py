@@ -49,7 +49,7 @@ def test_macro_f1_evaluator(spark):
 
 def test_smote_points_lie_on_minority_segments(spark):
     vec = _vec(spark, 80, 2)
-    out = smote(vec, "rid", k=3, bucket_length=4.0)
+    out = smote(vec, "rid", k=3)
     counts = {(r.label, r.synthetic): r["count"] for r in out.groupBy("label", "synthetic").count().collect()}
     assert counts[(1, 0)] + counts.get((1, 1), 0) == counts[(0, 0)]
     mino = np.array([r[0] for r in vec.where("label = 1").select(vector_to_array("features")).collect()])
