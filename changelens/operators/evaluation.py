@@ -327,7 +327,7 @@ def display_class(c) -> Column:
 
 
 def evaluate_scores(scores: DataFrame, group_cols: list[str], fixed_threshold: float | None = None,
-                    label: str = "label", p: str = "p") -> dict[str, DataFrame]:
+                    label: str = "label", p: str = "p", with_auc: bool = True) -> dict[str, DataFrame]:
     """E9/E10/E12 building blocks for a long score table.
 
     Returns ``thresholds`` (group, threshold, mcc), ``counts`` at that
@@ -343,7 +343,8 @@ def evaluate_scores(scores: DataFrame, group_cols: list[str], fixed_threshold: f
     scored = scores.join(best.select(*g, "threshold"), g, "inner")
     scored = apply_threshold(scored, F.col("threshold"), p)
     counts = confusion_counts(scored, g, label, "pred")
-    auc = roc_auc(roc_points(scores, g, label, p), g)
+    # the ROC points start a (bounded) quantile job when built, so only on request
+    auc = roc_auc(roc_points(scores, g, label, p), g) if with_auc else None
     return {"thresholds": best, "counts": counts, "auc": auc}
 
 
@@ -363,7 +364,7 @@ def threshold_metrics(scores: DataFrame, group_cols=("model", "split"), fixed_th
     """E10 + P14: per model x split threshold, MCC, class-1 precision /
     recall / F1 and accuracy, rounded half-to-even."""
     g = list(group_cols)
-    ev = evaluate_scores(scores, g, fixed_threshold, label, p)
+    ev = evaluate_scores(scores, g, fixed_threshold, label, p, with_auc=False)
     cm = class_metrics(ev["counts"], g).where(F.col("class") == 1)
     out = cm.join(ev["thresholds"], g, "inner")
     num = ["threshold", "mcc", "precision", "recall", "f1_score", "accuracy"]
