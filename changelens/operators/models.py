@@ -19,7 +19,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -35,6 +35,18 @@ GBT_PARAMS = {"maxIter": 500, "maxDepth": 15, "stepSize": 0.05, "subsamplingRate
 VOTE_WEIGHTS = (1.0, 2.0)
 MAX_DEPTH = 30
 
+# The reference's random-search ranges, under Spark ML names
+# (trees/rounds, depth with "unlimited" -> 30, leaf size, column share,
+# learning rate, row share, split gain).  Ranges with no Spark counterpart
+# (node split size, L2 weight) are left out.
+SEARCH_GRIDS = {
+    "RandomForest": {"numTrees": [100, 300, 500], "maxDepth": [10, 20, 30],
+                     "minInstancesPerNode": [1, 5, 10], "featureSubsetStrategy": ["sqrt", "log2"]},
+    "XGBoost": {"maxIter": [100, 300, 500], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [6, 10, 15],
+                "subsamplingRate": [0.7, 0.8, 1.0], "featureSubsetStrategy": ["0.7", "0.8", "1.0"],
+                "minInfoGain": [0.0, 0.1, 0.3]},
+}
+
 
 # --------------------------------------------------------------- features
 
@@ -271,26 +283,30 @@ def permutation_importance(sample: DataFrame, columns: list[str], score_fn, id_c
     """Macro-F1 drop when one raw column is shuffled, ``n_repeats``
     times per column; mean and population std of the drops.
 
-    The sample is expanded to (column, repeat) copies in which that column
-    is replaced by the value of the row at a seeded random rank (a rank
-    join, no driver loop), scored by one ``score_fn`` call, and grouped.
-    ``score_fn(df)`` must return ``df`` with an int ``pred`` column.
+    One pass: every sample row is copied once per (column, repeat) tag;
+    within a tag (at most |sample| rows, a bounded window) the rows get a
+    seeded random order whose rank names the donor row; one join brings the
+    donor's values and only the tagged column takes the donor value.  The
+    copies are scored by a single ``score_fn`` call (which must return an
+    int ``pred`` and keep ``__col``/``__rep``) and grouped per tag.
     """
     ranked = SM.exact_rank(sample, [id_col], None, seed, out="__r0")
-    base = score_fn(ranked)
-    base_f1 = _macro_f1_by(base, [], label).first()["f1"]
-    copies = []
+    base_f1 = _macro_f1_by(score_fn(ranked.drop("__r0")), [], label).first()["f1"]
+    tags = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c in columns for r in range(n_repeats)])
+    copies = ranked.select("*", F.explode(tags).alias("__t")).select(
+        "*", F.col("__t.c").alias("__col"), F.col("__t.r").alias("__rep")).drop("__t")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__col"), F.col("__rep").cast("string"),
+                            F.col(id_col).cast("string")))
+    w = Window.partitionBy("__col", "__rep").orderBy(key, F.col(id_col))
+    copies = copies.withColumn("__donor", F.row_number().over(w) - 1)
+    donors = ranked.select(F.col("__r0").alias("__donor"), *[F.col(c).alias(f"__d_{c}") for c in columns])
+    j = copies.join(donors, "__donor")
     for c in columns:
-        for r in range(n_repeats):
-            salt = seed + 1 + r * 7919 + zlib.crc32(c.encode()) % 100003
-            shuffled = SM.exact_rank(sample.select(id_col, c), [id_col], None, salt,
-                                     out="__r0").select("__r0", F.col(c).alias("__v"))
-            d = ranked.join(shuffled, "__r0").withColumn(c, F.col("__v")).drop("__v")
-            copies.append(d.select(*sample.columns).withColumn("__col", F.lit(c)).withColumn("__rep", F.lit(r))
-                          .withColumn(id_col, F.concat_ws("#", F.col(id_col).cast("string"), F.lit(c), F.lit(str(r)))))
-    allc = SM.union_all(copies)
-    scored = score_fn(allc)
-    per = _macro_f1_by(scored, ["__col", "__rep"], label)
+        j = j.withColumn(c, F.when(F.col("__col") == c, F.col(f"__d_{c}")).otherwise(F.col(c)))
+    j = j.withColumn(id_col, F.concat_ws("#", F.col(id_col).cast("string"), F.col("__col"),
+                                         F.col("__rep").cast("string")))
+    j = j.drop("__donor", "__r0", *[f"__d_{c}" for c in columns])
+    per = _macro_f1_by(score_fn(j), ["__col", "__rep"], label)
     drop = per.withColumn("drop", F.lit(base_f1) - F.col("f1"))
     return drop.groupBy(F.col("__col").alias("feature")).agg(F.avg("drop").alias("importance_mean"),
                                                              F.stddev_pop("drop").alias("importance_std"))

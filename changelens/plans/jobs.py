@@ -49,7 +49,8 @@ class Config:
     rf_params: dict = field(default_factory=lambda: dict(MD.RF_PARAMS))
     gbt_params: dict = field(default_factory=lambda: dict(MD.GBT_PARAMS))
     search: bool = False
-    search_grid: dict = field(default_factory=dict)
+    search_grid: dict = field(default_factory=lambda: dict(MD.SEARCH_GRIDS))
+    importance: bool = True
     max_features: int = 12000
     svd_k: int = 50
     max_df: float = 0.7
@@ -142,7 +143,7 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
         from ..operators.smote import smote
         bal = smote(train_vec.select("rid", "features", "label"), "rid", seed=conf.seed)
         train_vec = cut_lineage(bal.drop("synthetic"))
-    models, scores = {}, []
+    models, scores, importances = {}, [], {}
     for name in conf.models:
         kind = MODEL_KINDS[name]
         params = conf.rf_params if kind == "rf" else conf.gbt_params if kind == "gbt" else \
@@ -153,11 +154,16 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
         cm = MD.fit_calibrated(train_vec, kind, params, key_cols=["rid"], seed=conf.seed)
         cm.preprocessor = pre
         models[name] = cm
+        if conf.importance:
+            importances[name] = model_importance(cm, ft["test"], numeric + cats + list(TEXT.values()), conf)
         for split in ("test", "val"):
             p = cm.predict_proba(vec[split]).select("repo", "filepath", "commit", "label", "p")
             scores.append(p.withColumn("model", F.lit(display_name(name.lower()))).withColumn("split", F.lit(split)))
     long = cut_lineage(SM.union_all(scores))
     reports = make_reports(long, splits, conf)
+    for name, imp in importances.items():
+        reports[f"feature_importance_{name}"] = imp
+        reports[f"feature_importance_top20_{name}"] = RP.top_n(imp, "importance_mean", 20, "feature")
     if output_dir:
         out = run_dir(output_dir)
         for k, df in reports.items():
@@ -168,6 +174,20 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
     return {"models": models, "scores": long, "reports": reports, "preprocessor": pre}
 
 
+def model_importance(cm: MD.CalibratedModel, test_ft: DataFrame, columns: list[str], conf: Config) -> DataFrame:
+    """E11 + R6: permutation importance of the raw feature columns on a
+    seeded subset of at most ``importance_rows`` test rows, scored with the
+    whole fitted pipeline (preprocessing + calibrated model, threshold 0.5)."""
+    sample = SM.seeded_subset(test_ft, conf.importance_rows, ["rid"], conf.seed)
+
+    def score(df):
+        extra = [c for c in ("__col", "__rep") if c in df.columns]
+        vec = cm.preprocessor.transform(df, keep=["label", *extra])
+        return cm.predict(vec)
+
+    return MD.permutation_importance(sample, columns, score, "rid", conf.importance_repeats, conf.seed)
+
+
 def make_reports(long: DataFrame, splits: dict, conf: Config) -> dict[str, DataFrame]:
     g = ["model", "split"]
     comp = EV.compare_models(long, g, conf.fixed_threshold)

@@ -186,7 +186,8 @@ def _small_config():
                   rf_params={"numTrees": 30, "featureSubsetStrategy": "sqrt", "subsamplingRate": 0.9, "maxDepth": 10},
                   gbt_params={"maxIter": 10, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
                               "featureSubsetStrategy": "0.7"},
-                  max_features=2000, svd_k=10, test_pct=0.2, val_pct=0.2)
+                  max_features=2000, svd_k=10, test_pct=0.2, val_pct=0.2,
+                  importance=False)   # E11 has its own registered query
 
 
 @register("model_scores", rows="L1-L7,B1,F1-F12,R1-R5,J1,P3-P5,S1")

@@ -24,7 +24,8 @@ def test_train_save_evaluate(spark, tmp_path):
     conf = Config(models=("RandomForest", "XGBoost", "VotingClassifier"),
                   rf_params={"numTrees": 5, "maxDepth": 4},
                   gbt_params={"maxIter": 3, "maxDepth": 3}, max_features=500, svd_k=3,
-                  check_sizes=False)   # 13 test rows cannot hit a 0.25 +- 0.01 share (3/13)
+                  check_sizes=False,   # 13 test rows cannot hit a 0.25 +- 0.01 share (3/13)
+                  importance=False)    # covered by test_models.test_permutation_importance
     res = train(spark, line, jit, conf, output_dir=str(tmp_path))
     out = res["reports"]["output_dir"]
     names = set(os.listdir(out))

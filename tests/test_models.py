@@ -62,3 +62,15 @@ def test_random_search_returns_grid_point(spark):
     vec = _vec(spark, 80, 3)
     best, score = MD.random_search(vec, "rf", {"numTrees": [3, 5], "maxDepth": [2, 3]}, n_candidates=2)
     assert best["numTrees"] in (3, 5) and best["maxDepth"] in (2, 3) and 0 <= score <= 1
+
+
+def test_permutation_importance_one_pass(spark):
+    rows = [(str(i), float(i % 7), float(i % 3), int(i % 7 >= 4)) for i in range(140)]
+    df = spark.createDataFrame(rows, "rid string, a double, b double, label int")
+
+    def score(d):   # predicts from column a only
+        return d.withColumn("pred", (F.col("a") >= 4).cast("int"))
+
+    imp = {r.feature: r for r in MD.permutation_importance(df, ["a", "b"], score, "rid", 5).collect()}
+    assert imp["b"].importance_mean == 0.0 and imp["b"].importance_std == 0.0
+    assert imp["a"].importance_mean > 0.2
