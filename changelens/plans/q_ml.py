@@ -190,7 +190,7 @@ def _small_config():
                   importance=False)   # E11 has its own registered query
 
 
-@register("model_scores", rows="L1-L7,B1,F1-F12,R1-R5,J1,P3-P5,S1")
+@register("model_scores", rows="L1-L7,B1,F1-F12,R1-R5,J1,J5,P3-P5,A12,S1")
 def model_scores(spark, sf):
     """The training flow on documents + labels: join, label, resample,
     features, preprocessing, SMOTE, three calibrated models; returns the
