@@ -90,7 +90,9 @@ def file_extension(path) -> Column:
 
 def clean_code(c) -> Column:
     """Drop '#...' to end of line, strip lines, drop blank ones, join with \\n."""
-    no_comments = F.regexp_replace(T.as_col(c), "#[^\\n]*", "")
+    c = T.as_col(c)
+    # the regex only runs on texts that contain a '#'
+    no_comments = F.when(T.contains(c, "#"), F.regexp_replace(c, "#[^\\n]*", "")).otherwise(c)
     kept = F.filter(F.transform(T.lines(no_comments), T.strip), lambda l: l != F.lit(""))
     return F.array_join(kept, "\n")
 
