@@ -74,6 +74,38 @@ def stratified_folds(spark, sf):
     return SM.stratified_folds(lab, ["doc_id"], 3)
 
 
+_WITH_NULLS = "(SELECT d.doc_id, l.quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def _labels_with_nulls(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return d.join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+
+
+@register("stratified_folds_nulls", rows="L4,P6", sql=(
+    "SELECT doc_id, label, ((row_number() OVER (PARTITION BY label ORDER BY "
+    f"{MD5_DOC}, doc_id) - 1) % 3)::INTEGER AS fold FROM {_WITH_NULLS}"))
+def stratified_folds_nulls(spark, sf):
+    """Folds over documents of which many have no class: NULL is a class of
+    its own, and no row is lost."""
+    return SM.stratified_folds(_labels_with_nulls(spark, sf), ["doc_id"], 3)
+
+
+@register("balance_nulls", rows="R3,U1", sql=(
+    f"WITH l AS (SELECT * FROM {_WITH_NULLS} WHERE label IS NOT NULL), "
+    "c AS (SELECT label, count(*) AS n FROM l GROUP BY label), "
+    "mi AS (SELECT label AS minority, n AS n_min FROM c ORDER BY n, label LIMIT 1), "
+    "maj AS (SELECT l.* FROM l, mi WHERE l.label <> mi.minority), "
+    f"r AS (SELECT *, row_number() OVER (ORDER BY {MD5_DOC}, doc_id) AS rk FROM maj) "
+    "SELECT doc_id, label FROM r, mi WHERE rk <= n_min "
+    "UNION ALL SELECT l.doc_id, l.label FROM l, mi WHERE l.label = mi.minority"))
+def balance_nulls(spark, sf):
+    """Rows without a class are rejected first; the two classes are then
+    balanced without replacement."""
+    kept, _ = SM.reject_null_class(_labels_with_nulls(spark, sf))
+    return SM.balance_classes(kept, ["doc_id"], replace=False).select("doc_id", "label")
+
+
 @register("fraction_sample", rows="R4", sql=(
     f"WITH r AS (SELECT *, row_number() OVER (ORDER BY {MD5_LINE}, l_orderkey, l_linenumber) - 1 AS rk FROM lineitem) "
     "SELECT l_orderkey, l_linenumber FROM r WHERE rk < (SELECT round(0.5::DOUBLE * count(*)) FROM lineitem)"))
