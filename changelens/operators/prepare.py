@@ -45,12 +45,20 @@ def decode_text(c, dtype_is_binary: bool = True) -> Column:
     """Bytes -> UTF-8 text, dropping undecodable bytes.
 
     ``make_valid_utf8`` marks each bad sequence with U+FFFD, which is then
-    removed (a genuine U+FFFD in the input is removed too).
+    removed.  Genuine U+FFFD characters are escaped before and restored after
+    (a noncharacter is the escape, and is itself escaped).
     """
     c = F.col(c) if isinstance(c, str) else c
     if not dtype_is_binary:
         return c.cast("string")
-    return F.replace(F.make_valid_utf8(c.cast("string")), F.lit("�"), F.lit(""))
+    mark, esc = F.lit("\ufffd"), "\ufdd0"
+    text = c.cast("string")
+    held = F.replace(F.replace(text, F.lit(esc), F.lit(esc + "0")), mark, F.lit(esc + "1"))
+    clean = F.replace(F.make_valid_utf8(held), mark, F.lit(""))
+    clean = F.replace(F.replace(clean, F.lit(esc + "1"), mark), F.lit(esc + "0"), F.lit(esc))
+    # texts without either character skip the escaping
+    plain = F.replace(F.make_valid_utf8(text), mark, F.lit(""))
+    return F.when(F.contains(text, mark) | F.contains(text, F.lit(esc)), clean).otherwise(plain)
 
 
 def unescape_newlines(c) -> Column:

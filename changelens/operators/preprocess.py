@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 MISSING = "missing"
+MAX_CATEGORIES = 10_000
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -122,9 +123,10 @@ def anova_f(long: DataFrame, label: str = "label", feature: str = "feature", val
     """one-way ANOVA F per feature (the univariate selector's score).
 
     Input is long (feature, label, value); per (feature, class) sums are a
-    partial aggregate, so the shuffle carries classes x features rows."""
-    per = long.groupBy(feature, label).agg(F.count(value).alias("n"), F.sum(value).alias("s"),
-                                           F.sum(F.col(value) * F.col(value)).alias("ss"))
+    partial aggregate, so the shuffle carries classes x features rows.  A
+    class without values does not count; one class gives a NULL score."""
+    per = long.where(F.col(value).isNotNull()).groupBy(feature, label).agg(
+        F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
     tot = per.groupBy(feature).agg(
         F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("S"), F.sum("ss").alias("SS"),
         F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
@@ -132,14 +134,18 @@ def anova_f(long: DataFrame, label: str = "label", feature: str = "feature", val
     sstot = F.col("SS") - sq_all / F.col("N")
     ssbn = F.col("B") - sq_all / F.col("N")
     sswn = sstot - ssbn
-    msb = ssbn / (F.col("k") - 1)
-    msw = sswn / (F.col("N") - F.col("k"))
-    return tot.select(feature, F.when(msw == 0, F.lit(None)).otherwise(msb / msw).alias("f_score"))
+    msb = F.try_divide(ssbn, F.col("k") - 1)
+    msw = F.try_divide(sswn, F.col("N") - F.col("k"))
+    return tot.select(feature, F.try_divide(msb, msw).alias("f_score"))
 
 
 def one_hot_fit(df: DataFrame, col: str) -> list[str]:
-    """F5/F6 categories: NULL -> 'missing', sorted (a bounded list)."""
-    vals = df.select(F.coalesce(F.col(col).cast("string"), F.lit(MISSING)).alias("v")).distinct().collect()
+    """F5/F6 categories: NULL -> 'missing', sorted.  A column with more than
+    ``MAX_CATEGORIES`` values is refused, so the list is bounded."""
+    vals = (df.select(F.coalesce(F.col(col).cast("string"), F.lit(MISSING)).alias("v")).distinct()
+            .limit(MAX_CATEGORIES + 1).collect())
+    if len(vals) > MAX_CATEGORIES:
+        raise ValueError(f"{col} has over {MAX_CATEGORIES} categories; it is no one-hot column")
     return sorted(r[0] for r in vals)
 
 
@@ -150,12 +156,8 @@ def one_hot_index(col: str, categories: list[str]) -> Column:
     return m[F.coalesce(F.col(col).cast("string"), F.lit(MISSING))]
 
 
-def one_hot_vector_stage(col: str, out: str):
-    """F6 as Spark ML stages: alphabetical indexer that keeps unseen values
-    in an extra slot, and an encoder that drops exactly that slot, so an
-    unseen value encodes to the zero vector."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    idx = StringIndexer(inputCol=col, outputCol=col + "__idx", handleInvalid="keep",
-                        stringOrderType="alphabetAsc")
-    enc = OneHotEncoder(inputCols=[col + "__idx"], outputCols=[out], dropLast=True)
-    return [idx, enc]
+def one_hot_vector(col: str, categories: list[str]) -> Column:
+    """the one-hot vector; an unseen value gives all zeros."""
+    at = one_hot_index(col, categories)
+    return F.transform(F.sequence(F.lit(0), F.lit(len(categories) - 1)),
+                       lambda i: F.coalesce((i == at).cast("double"), F.lit(0.0)))

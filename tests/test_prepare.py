@@ -20,6 +20,10 @@ def test_label_and_decode(spark):
     b = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray(b"x\\ny"),)], "c binary")
     got = [r[0] for r in b.select(P.to_text(b, "c")).collect()]
     assert got == ["ab", "x\ny"]
+    # genuine replacement characters and the escape character itself stay
+    odd = ["a\ufffdb", "\ufdd0", "\ufdd01\ufffd\ufdd00", "\ufffd"]
+    b = spark.createDataFrame([(bytearray(t.encode() + b"\xff\xc3"),) for t in odd], "c binary")
+    assert [r[0] for r in b.select(P.decode_text("c")).collect()] == odd
 
 
 def test_file_change_freq_counts_and_nulls(spark):

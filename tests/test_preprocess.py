@@ -40,11 +40,23 @@ def test_anova_f(spark):
 
 
 def test_one_hot_unknown_is_zero(spark):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-    train = spark.createDataFrame([("b",), ("a",), (None,)], "c string").fillna("missing")
-    model = Pipeline(stages=PP.one_hot_vector_stage("c", "v")).fit(train)
-    test = spark.createDataFrame([("a",), ("zzz",)], "c string")
-    arrs = [r[0] for r in model.transform(test).select(vector_to_array("v")).collect()]
-    assert arrs == [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+    cats = PP.one_hot_fit(spark.createDataFrame([("b",), ("a",), (None,)], "c string"), "c")
+    test = spark.createDataFrame([("a",), ("zzz",), (None,)], "c string")
+    arrs = [r[0] for r in test.select(PP.one_hot_vector("c", cats)).collect()]
+    assert arrs == [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
     assert PP.one_hot_fit(spark.createDataFrame([("b",), (None,)], "c string"), "c") == ["b", "missing"]
+
+
+def test_one_hot_refuses_an_open_column(spark, monkeypatch):
+    monkeypatch.setattr(PP, "MAX_CATEGORIES", 5)
+    with pytest.raises(ValueError, match="categories"):
+        PP.one_hot_fit(spark.range(9).selectExpr("CAST(id AS STRING) AS c"), "c")
+
+
+def test_anova_with_one_class_and_with_an_empty_class(spark):
+    one = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0)], "label int, feature int, value double")
+    assert [r.f_score for r in PP.anova_f(one).collect()] == [None]
+    rows = [(0, 0, 1.0), (0, 0, 2.0), (1, 0, 4.0), (1, 0, 6.0)]
+    some = spark.createDataFrame(rows + [(2, 0, None)], "label int, feature int, value double")
+    full = spark.createDataFrame(rows, "label int, feature int, value double")
+    assert PP.anova_f(some).first().f_score == pytest.approx(PP.anova_f(full).first().f_score)
