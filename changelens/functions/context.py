@@ -60,21 +60,67 @@ def path_purpose(path) -> Column:
     return _first_match(low, PATH_PURPOSES, fallback)
 
 
+# Date texts beyond ISO 8601, as patterns that give day, month, year, time, zone.
+_MAIL_DATE = (r"^(?:[A-Za-z]{3},? +)?(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{1,2}:\d{2}(?::\d{2})?) *"
+              r"(Z|GMT|UTC|[+-]\d{2}:?\d{2})?$", (1, 2, 3, 4, 5))
+_GIT_DATE = (r"^[A-Za-z]{3} ([A-Za-z]{3}) +(\d{1,2}) (\d{1,2}:\d{2}:\d{2}) (\d{4}) *(Z|GMT|UTC|[+-]\d{2}:?\d{2})?$",
+             (2, 1, 4, 3, 5))
+_ISO_ZONE = r"(Z|[+-]\d{2}(:?\d{2})?| UTC| GMT)$"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
+def _iso_zone(zone: Column) -> Column:
+    """'+0200', 'GMT' or nothing as an ISO offset."""
+    return F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))) \
+        .when(zone.rlike(r"^[+-]\d{2}:\d{2}$"), zone).otherwise(F.lit("+00:00"))
+
+
+def _written_date(c: Column, pattern: str, places: tuple) -> Column:
+    """ISO text of a date with a month name; NULL for other months."""
+    day, month, year, time, zone = (F.regexp_extract(c, pattern, i) for i in places)
+    number = F.position(F.lower(month), F.lit(_MONTHS))
+    time = F.when(F.length(time) <= 5, F.concat(time, F.lit(":00"))).otherwise(time)
+    return F.when(number % 3 == 1, F.concat(
+        year, F.lit("-"), F.lpad(((number + 2) / 3).cast("int").cast("string"), 2, "0"), F.lit("-"),
+        F.lpad(day, 2, "0"), F.lit("T"), F.lpad(time, 8, "0"), _iso_zone(zone)))
+
+
 def parse_commit_time(c) -> Column:
-    """Timestamp in UTC.  Strings may carry offsets (converted) or be
-    naive (taken as UTC, the session zone).  Unparseable -> NULL."""
-    c = T.as_col(c)
-    return F.try_to_timestamp(c)
+    """The instant of a date text, whatever the session's time zone.
+    ISO 8601, mail (RFC 2822) and git forms; offsets are applied, texts
+    without one are UTC.  Unparseable -> NULL."""
+    c = F.trim(T.as_col(c))
+    day_only = c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
+    zoned = F.regexp_replace(c, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    iso = F.when(day_only, F.concat(c, F.lit("T00:00:00+00:00"))).when(
+        c.rlike(r"\d:\d{2}.*" + _ISO_ZONE), F.when(c.rlike(r"[+-]\d{4}$"), zoned).otherwise(c)).otherwise(
+        F.concat(c, F.lit("+00:00")))
+    text = (F.when(c.rlike(_MAIL_DATE[0]), _written_date(c, *_MAIL_DATE))
+            .when(c.rlike(_GIT_DATE[0]), _written_date(c, *_GIT_DATE)).otherwise(iso))
+    return F.try_to_timestamp(text)
+
+
+def _utc_hours(ts) -> Column:
+    return F.floor(F.unix_seconds(T.as_col(ts)) / 3600)
+
+
+def hour_or_null(ts) -> Column:
+    return F.pmod(_utc_hours(ts), F.lit(24)).cast("int")
+
+
+def weekday_or_null(ts) -> Column:
+    """Monday = 0; 1970-01-01 was a Thursday."""
+    return F.pmod(F.floor(_utc_hours(ts) / 24) + 3, F.lit(7)).cast("int")
 
 
 def commit_hour(ts) -> Column:
-    """D2; 0 when the time is missing or unparseable."""
-    return F.coalesce(F.hour(T.as_col(ts)), F.lit(0))
+    """Hour in UTC of an instant; 0 when it is missing or unparseable."""
+    return F.coalesce(hour_or_null(ts), F.lit(0))
 
 
 def commit_weekday(ts) -> Column:
-    """D3: Monday = 0 (not Spark's Sunday-first dayofweek)."""
-    return F.coalesce(F.weekday(T.as_col(ts)), F.lit(0))
+    """D3: weekday in UTC of an instant; 0 when it is missing or unparseable."""
+    return F.coalesce(weekday_or_null(ts), F.lit(0))
 
 
 def path_length(path) -> Column:
@@ -98,7 +144,11 @@ def clean_code(c) -> Column:
 
 
 def ensure_timestamp(df, col: str):
-    """Accept string or timestamp input for the commit time column."""
-    if isinstance(df.schema[col].dataType, StringType):
+    """The commit time column as an instant: texts are parsed, times without
+    a zone are UTC."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, StringType):
         return parse_commit_time(col)
-    return F.col(col)
+    if kind.typeName() in ("timestamp_ntz", "date"):
+        return parse_commit_time(F.date_format(F.col(col).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return F.col(col).cast("timestamp")
