@@ -7,12 +7,11 @@ ever sees bounded results (a 100-point grid, 20 histogram edges).
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.sinks import CLASS_DISPLAY, MODEL_DISPLAY
 from .ranking import prefix_sums
 
@@ -34,6 +33,31 @@ def _join_groups(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
     return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
+# --------------------------------------------------------------- score table
+
+#: Rows per score and class; ``other`` counts rows whose label is not 0 or 1.
+_COUNTS = ("pos", "zero", "other")
+
+
+def score_counts(scores: DataFrame, group_cols: list[str] | None = None, label: str = "label",
+                 p: str = "p") -> DataFrame:
+    """One row per (group, score) with its rows per class.
+
+    Curves, threshold counts and areas all derive from this table, so scores
+    are scanned once.  NULL and NaN scores are left out here, and only here.
+    A table that already holds counts is passed through."""
+    if set(_COUNTS) <= set(scores.columns):
+        return scores
+    y = F.col(label)
+
+    def rows(cond):
+        return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    return (scores.where(F.col(p).isNotNull() & ~F.isnan(p))
+            .groupBy(*(group_cols or []), F.col(p).cast("double").alias(p))
+            .agg(rows(y == 1).alias("pos"), rows(y == 0).alias("zero"),
+                 rows(F.coalesce((y != 1) & (y != 0), F.lit(True))).alias("other")))
+
+
 # ---------------------------------------------------------------- thresholds
 
 def grid_value(i: Column, n_steps: int = 100) -> Column:
@@ -72,11 +96,14 @@ def mcc_curve(scores: DataFrame, group_cols: list[str] | None = None, label: str
     sums over the dense grid give the counts at ``p >= t``.
     """
     g = group_cols or []
-    hist = (scores.where(F.col(p).isNotNull() & ~F.isnan(p))
-            .withColumn("__b", grid_index(F.col(p), n_steps))
-            .groupBy(*g, "__b")
-            .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("__pos"),
-                 F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("__neg")))
+    if set(_COUNTS) <= set(scores.columns):
+        pos, neg = F.col("pos"), F.col("zero") + F.col("other")
+    else:
+        scores = scores.where(F.col(p).isNotNull() & ~F.isnan(p))
+        pos = F.when(F.col(label) == 1, 1).otherwise(0)
+        neg = 1 - pos
+    hist = (scores.withColumn("__b", grid_index(F.col(p), n_steps)).groupBy(*g, "__b")
+            .agg(F.sum(pos).cast("long").alias("__pos"), F.sum(neg).cast("long").alias("__neg")))
     totals = hist.groupBy(*g).agg(F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))
     grid = totals.select(*g, "__P", "__N", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("i"))
     dense = grid.join(hist.withColumnRenamed("__b", "i"), [*g, "i"], "left").fillna(0, ["__pos", "__neg"])
@@ -107,6 +134,11 @@ def apply_threshold(scores: DataFrame, threshold, p: str = "p", out: str = "pred
     return scores.withColumn(out, (F.col(p) >= t).cast("int"))
 
 
+def default_prediction(scores: DataFrame, p: str = "p", out: str = "pred") -> DataFrame:
+    """The class with the larger probability; a tie (0.5) is class 0."""
+    return scores.withColumn(out, (F.col(p) > 0.5).cast("int"))
+
+
 # ------------------------------------------------------- confusion / report
 
 def confusion_counts(scored: DataFrame, group_cols: list[str] | None = None,
@@ -125,8 +157,12 @@ def confusion_counts(scored: DataFrame, group_cols: list[str] | None = None,
 def confusion_matrix(scored: DataFrame, group_cols: list[str] | None = None,
                      label: str = "label", pred: str = "pred") -> DataFrame:
     """E2 in long form: all four (label, pred) cells, zeros included."""
+    return confusion_cells(confusion_counts(scored, group_cols, label, pred), group_cols)
+
+
+def confusion_cells(c: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """E2 long form from (tn, fp, fn, tp)."""
     g = group_cols or []
-    c = confusion_counts(scored, g, label, pred)
     cells = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("pred"), F.col(k).alias("n"))
                       for a, b, k in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))])
     return c.select(*g, F.explode(cells).alias("x")).select(*g, "x.label", "x.pred", "x.n")
@@ -182,19 +218,15 @@ def accuracy(scored: DataFrame, group_cols=None, label="label", pred="pred") ->
 
 # --------------------------------------------------------------- ROC / PR
 
-def _score_counts(scores, g, label, p):
-    return (scores.where(F.col(p).isNotNull())
-            .groupBy(*g, p).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
-                                F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg")))
-
-
 def roc_points(scores: DataFrame, group_cols: list[str] | None = None, label: str = "label",
-               p: str = "p", n_buckets: int = 1024) -> DataFrame:
+               p: str = "p", n_buckets: int | None = None) -> DataFrame:
     """One point per distinct score (descending), cumulative tps/fps,
     plus the (0, 0) start point (threshold NULL).  Collinear points are
-    kept (same curve, same area)."""
+    kept (same curve, same area).  ``scores`` may be a score-count table."""
     g = group_cols or []
-    sc = _score_counts(scores, g, label, p)
+    counted = set(_COUNTS) <= set(scores.columns)
+    sc = scores if counted else cut_lineage(score_counts(scores, g, label, p))
+    sc = sc.select(*g, p, "pos", (F.col("zero") + F.col("other")).alias("neg"))
     cum = prefix_sums(sc, g, p, ["pos", "neg"], descending=True, n_buckets=n_buckets)
     tot = sc.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     pts = _join_groups(cum, tot, g)
@@ -249,7 +281,7 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def describe(scores: DataFrame, p: str = "p", quantiles=(0.25, 0.5, 0.75),
-             n_buckets: int = 1024) -> DataFrame:
+             n_buckets: int | None = None) -> DataFrame:
     """A10: count, mean, std (sample), min, exact linear quantiles, max.
 
     Quantiles are exact without gathering the column: value counts get
@@ -258,7 +290,7 @@ def describe(scores: DataFrame, p: str = "p", quantiles=(0.25, 0.5, 0.75),
     x = scores.select(F.col(p).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     stats = x.agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
                   F.min("v").alias("min"), F.max("v").alias("max"))
-    vc = x.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    vc = cut_lineage(x.groupBy("v").agg(F.count(F.lit(1)).alias("c")))
     cum = prefix_sums(vc, [], "v", ["c"], descending=False, n_buckets=n_buckets).withColumn(
         "lo", F.col("c_cum") - F.col("c"))                                   # ranks [lo, c_cum)
     qs = stats.select("count", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"))
@@ -332,20 +364,29 @@ def evaluate_scores(scores: DataFrame, group_cols: list[str], fixed_threshold: f
 
     Returns ``thresholds`` (group, threshold, mcc), ``counts`` at that
     threshold, ``auc``.  A fixed threshold overrides the MCC optimum and
-    the MCC is then reported as NULL (P13).
+    the MCC is then reported as NULL (P13), with no curve built.
+
+    The scores are scanned once, into the (group, score) counts.
     """
     g = group_cols
-    best = best_mcc_threshold(mcc_curve(scores, g, label, p), g)
-    if fixed_threshold is not None:
-        best = best.select(*g, F.lit(float(fixed_threshold)).alias("threshold"),
-                           F.lit(None).cast("double").alias("mcc"))
-    # one row per group: joined by key, AQE broadcasts it
-    scored = scores.join(best.select(*g, "threshold"), g, "inner")
-    scored = apply_threshold(scored, F.col("threshold"), p)
-    counts = confusion_counts(scored, g, label, "pred")
-    # the ROC points start a (bounded) quantile job when built, so only on request
-    auc = roc_auc(roc_points(scores, g, label, p), g) if with_auc else None
-    return {"thresholds": best, "counts": counts, "auc": auc}
+    table = score_counts(scores, g, label, p)
+    if table is not scores:
+        table = cut_lineage(table)
+    if fixed_threshold is None:
+        best = best_mcc_threshold(mcc_curve(table, g, label, p), g)
+        at = table.join(best.select(*g, "threshold"), g, "inner")  # one row per group
+    else:
+        best = table.groupBy(*g).agg(F.lit(float(fixed_threshold)).alias("threshold"),
+                                     F.lit(None).cast("double").alias("mcc"))
+        at = table.withColumn("threshold", F.lit(float(fixed_threshold)))
+    above = F.col(p) >= F.col("threshold")
+
+    def rows(cond, kind):
+        return F.sum(F.when(cond, F.col(kind)).otherwise(0)).cast("long")
+    counts = at.groupBy(*g).agg(rows(~above, "zero").alias("tn"), rows(above, "zero").alias("fp"),
+                                rows(~above, "pos").alias("fn"), rows(above, "pos").alias("tp"))
+    auc = roc_auc(roc_points(table, g, label, p), g) if with_auc else None
+    return {"table": table, "thresholds": best, "counts": counts, "auc": auc}
 
 
 def compare_models(scores: DataFrame, group_cols=("model", "split"), fixed_threshold=None,
@@ -378,12 +419,9 @@ def f1_by_model(compare: DataFrame, splits=("test", "val")) -> DataFrame:
 
 
 def only_rf_xgb(compare: DataFrame, names=("Random Forest", "XGBoost")) -> DataFrame:
-    """The two-model comparison, only when both models are present."""
-    present = {r[0] for r in compare.where(F.col("model").isin(*names)).select("model").distinct().collect()}
-    if not set(names) <= present:
-        return compare.limit(0)
-    return compare.where(F.col("model").isin(*names))
-
-
-def union_all(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """The two-model comparison, empty unless both models are present.
+    The test is part of the plan, over the few rows of the comparison."""
+    both = Window.partitionBy(F.lit(1))
+    return (compare.where(F.col("model").isin(*names))
+            .withColumn("__n", F.size(F.collect_set("model").over(both)))
+            .where(F.col("__n") == len(set(names))).drop("__n"))

@@ -18,13 +18,21 @@ from pyspark.sql import functions as F
 BUCKET = "__bucket"
 
 
-def range_buckets(df: DataFrame, order_col: str, n_buckets: int = 1024,
-                  rel_error: float = 1e-3) -> DataFrame:
-    """Add ``__bucket``: a balanced range id monotone in ``order_col``."""
-    fracs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fracs,
-                                     int(1 / rel_error)).alias("q")).first()
-    qs = sorted(set(v for v in (row["q"] or []) if v is not None))
+#: Rows a range should hold; the number of ranges follows the row count.
+ROWS_PER_BUCKET = 250_000
+
+
+def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
+    """Add ``__bucket``: a balanced range id monotone in ``order_col``.  By
+    default there is a range for every ``ROWS_PER_BUCKET`` rows."""
+    if n_buckets is None:
+        n_buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
+    qs = []
+    if n_buckets > 1:
+        fracs = [i / n_buckets for i in range(1, n_buckets)]
+        row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fracs, max(10_000, 10 * n_buckets))
+                     .alias("q")).first()
+        qs = sorted(set(v for v in (row["q"] or []) if v is not None))
     splits = [float("-inf")] + qs + [float("inf")]
     if len(splits) < 3:
         return df.withColumn(BUCKET, F.lit(0.0))
@@ -33,7 +41,7 @@ def range_buckets(df: DataFrame, order_col: str, n_buckets: int = 1024,
 
 
 def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str],
-                descending: bool = True, n_buckets: int = 1024,
+                descending: bool = True, n_buckets: int | None = None,
                 suffix: str = "_cum") -> DataFrame:
     """Running totals of ``value_cols`` within each group in ``order_col``
     order (inclusive of the current row).  ``df`` should have one row per
@@ -53,3 +61,16 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols
     for v in value_cols:
         d = d.withColumn(v + suffix, F.sum(v).over(w_in) + F.col(v + "__o"))
     return d.drop(*[v + "__o" for v in value_cols], BUCKET)
+
+
+def ordered_rank(df: DataFrame, group_cols: list[str], order_col: str, tie_cols: list[str],
+                 out: str = "rank") -> DataFrame:
+    """0-based place of each row within its group in ``order_col`` order, with
+    no group in one task: rows are counted per range, then numbered within."""
+    d = range_buckets(df, order_col)
+    counts = d.groupBy(*group_cols, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group_cols, BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy(*group_cols, BUCKET).orderBy(order_col, *tie_cols)
+    return (d.join(offsets, [*group_cols, BUCKET])
+            .withColumn(out, (F.col("__off") + F.row_number().over(inside) - 1).cast("long")).drop("__off", BUCKET))

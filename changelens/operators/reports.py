@@ -63,12 +63,24 @@ def extension_share_long(changes: DataFrame, repo: str = "repo", path: str = "fi
     return counts.join(tot, repo).select(repo, "file_extension", (F.col("n") / F.col("__t")).alias("share"))
 
 
-def extension_share_wide(changes: DataFrame, repo: str = "repo", path: str = "filepath",
-                         extensions: list[str] | None = None) -> DataFrame:
-    """A4 wide: one column per extension, missing -> 0.  Pass the
-    extension list to skip the extra distinct pass."""
-    lng = extension_share_long(changes, repo, path)
-    return lng.groupBy(repo).pivot("file_extension", extensions).agg(F.first("share")).fillna(0.0)
+#: Extension columns a wide table may have; the long table has no such bound.
+MAX_EXTENSIONS = 2000
+
+
+def extension_share_wide(changes: DataFrame, repos: int = 10, repo: str = "repo", path: str = "filepath") -> DataFrame:
+    """A4 wide / T6: the first ``repos`` repositories by name, one column per
+    extension they have, missing -> 0.  Only those repositories are pivoted,
+    with a given column list; ``extension_share_long`` holds the whole table.
+    Over ``MAX_EXTENSIONS`` columns are an error."""
+    names = changes.where(F.col(repo).isNotNull()).select(repo).distinct().orderBy(repo).limit(repos)
+    lng = extension_share_long(changes.join(F.broadcast(names), repo, "left_semi"), repo, path)
+    found = [r[0] for r in lng.select("file_extension").distinct().orderBy("file_extension")
+             .limit(MAX_EXTENSIONS + 1).collect()]
+    if len(found) > MAX_EXTENSIONS:
+        raise ValueError(f"over {MAX_EXTENSIONS} file extensions; use the long table")
+    if not found:
+        return names
+    return lng.groupBy(repo).pivot("file_extension", found).agg(F.first("share")).fillna(0.0)
 
 
 def path_length_by_repo(changes: DataFrame, repo: str = "repo", path: str = "filepath") -> DataFrame:

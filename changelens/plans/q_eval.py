@@ -77,7 +77,7 @@ def auc_sql(src: str, g: list[str]) -> str:
     return (
         f"SELECT {gsel}CASE WHEN 2.0::DOUBLE * max(P)::DOUBLE * max(N)::DOUBLE = 0 THEN NULL ELSE "
         "sum(neg::DOUBLE * (2 * tps - pos)::DOUBLE) / (2.0::DOUBLE * max(P)::DOUBLE * max(N)::DOUBLE) END AS auc "
-        f"FROM (SELECT * FROM ({roc_sql(src, g).replace('SELECT ', 'SELECT P, N, ', 1) if False else _roc_with_totals(src, g)}) "
+        f"FROM (SELECT * FROM ({_roc_with_totals(src, g)}) "
         f"WHERE threshold IS NOT NULL) {gb}"
     )
 
@@ -131,17 +131,17 @@ def apply_threshold(spark, sf):
 
 @register("confusion_matrix", rows="E2", sql=(
     "SELECT l.label, q.pred, count(s.label) AS n FROM (VALUES (0), (1)) l(label), (VALUES (0), (1)) q(pred) "
-    f"LEFT JOIN (SELECT label, CAST(p >= 0.5 AS INTEGER) AS pred FROM {LINES}) s "
+    f"LEFT JOIN (SELECT label, CAST(p > 0.5 AS INTEGER) AS pred FROM {LINES}) s "
     "ON s.label = l.label AND s.pred = q.pred GROUP BY l.label, q.pred"))
 def confusion_matrix(spark, sf):
-    s = EV.apply_threshold(SI.scored_lines(spark, sf), 0.5)
+    s = EV.default_prediction(SI.scored_lines(spark, sf))
     return EV.confusion_matrix(s).select(F.col("label").cast("int"), F.col("pred").cast("int"), "n")
 
 
-_REPORT_COUNTS = (f"SELECT count(*) FILTER (WHERE label = 0 AND p < 0.5) AS tn, "
-                  f"count(*) FILTER (WHERE label = 0 AND p >= 0.5) AS fp, "
-                  f"count(*) FILTER (WHERE label = 1 AND p < 0.5) AS fn, "
-                  f"count(*) FILTER (WHERE label = 1 AND p >= 0.5) AS tp FROM {LINES}")
+_REPORT_COUNTS = (f"SELECT count(*) FILTER (WHERE label = 0 AND p <= 0.5) AS tn, "
+                  f"count(*) FILTER (WHERE label = 0 AND p > 0.5) AS fp, "
+                  f"count(*) FILTER (WHERE label = 1 AND p <= 0.5) AS fn, "
+                  f"count(*) FILTER (WHERE label = 1 AND p > 0.5) AS tp FROM {LINES}")
 
 
 @register("classification_report", rows="E3,E8", sql=(
@@ -152,7 +152,7 @@ _REPORT_COUNTS = (f"SELECT count(*) FILTER (WHERE label = 0 AND p < 0.5) AS tn,
     "SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), "
     "sum(f1_score * support) / sum(support), sum(support)::BIGINT FROM c"))
 def classification_report(spark, sf):
-    s = EV.apply_threshold(SI.scored_lines(spark, sf), 0.5)
+    s = EV.default_prediction(SI.scored_lines(spark, sf))
     return EV.classification_report(EV.confusion_counts(s))
 
 
@@ -307,8 +307,8 @@ def soft_vote(spark, sf):
 
 
 @register("accuracy_by_model", rows="E8", sql=(
-    f"SELECT model, split, avg(CAST(label = CAST(p >= 0.5 AS INTEGER) AS DOUBLE)) AS accuracy FROM {LONG} "
+    f"SELECT model, split, avg(CAST(label = CAST(p > 0.5 AS INTEGER) AS DOUBLE)) AS accuracy FROM {LONG} "
     "GROUP BY model, split"))
 def accuracy_by_model(spark, sf):
-    s = EV.apply_threshold(SI.long_scores(spark, sf), 0.5)
+    s = EV.default_prediction(SI.long_scores(spark, sf))
     return EV.accuracy(s, _G)

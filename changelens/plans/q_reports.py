@@ -33,14 +33,14 @@ def class_distribution_by_repo(spark, sf):
 
 _REPO_F1 = (
     "SELECT repo, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1_score FROM ("
-    "SELECT repo, count(*) FILTER (WHERE label = 1 AND p >= 0.5) AS tp, "
-    "count(*) FILTER (WHERE label = 0 AND p >= 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND p < 0.5) AS fn "
+    "SELECT repo, count(*) FILTER (WHERE label = 1 AND p > 0.5) AS tp, "
+    "count(*) FILTER (WHERE label = 0 AND p > 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND p <= 0.5) AS fn "
     f"FROM {LINES} WHERE repo IS NOT NULL GROUP BY repo)"
 )
 
 
 def _scored(spark, sf):
-    return EV.apply_threshold(SI.scored_lines(spark, sf), 0.5)
+    return EV.default_prediction(SI.scored_lines(spark, sf))
 
 
 @register("repo_f1", rows="A13,T2", sql=_REPO_F1)
@@ -85,9 +85,8 @@ def extension_share_long(spark, sf):
     + f" FROM ({_EXT_LONG}) GROUP BY repo ORDER BY repo LIMIT 10"))
 def extension_share_wide(spark, sf):
     """The first 10 repositories of the wide table (T6); the extension
-    columns come from the data (here the four document languages)."""
-    wide = RP.extension_share_wide(SI.doc_changes(spark, sf))
-    return wide.orderBy("repo").limit(10)
+    columns are those these repositories have (here the four languages)."""
+    return RP.extension_share_wide(SI.doc_changes(spark, sf), 10)
 
 
 _PATH_LEN = (f"SELECT repo, avg(length(filepath)) AS avg_filepath_length FROM {PAGES} "
@@ -115,7 +114,7 @@ def _events(spark, sf):
     "FROM events WHERE ts IS NOT NULL GROUP BY 1"))
 def defect_rate_by_hour(spark, sf):
     e = _events(spark, sf)
-    return RP.defect_rate_by(e, F.hour("ts").cast("int"), "commit_hour")
+    return RP.defect_rate_by(e, C.hour_or_null(C.ensure_timestamp(e, "ts")), "commit_hour")
 
 
 @register("defect_rate_by_weekday", rows="A7,D3", sql=(
@@ -123,7 +122,7 @@ def defect_rate_by_hour(spark, sf):
     "FROM events WHERE ts IS NOT NULL GROUP BY 1"))
 def defect_rate_by_weekday(spark, sf):
     e = _events(spark, sf)
-    return RP.defect_rate_by(e, F.weekday("ts").cast("int"), "commit_day")
+    return RP.defect_rate_by(e, C.weekday_or_null(C.ensure_timestamp(e, "ts")), "commit_day")
 
 
 def _err_sql(cond):

@@ -142,3 +142,38 @@ def test_threshold_metrics_fixed_threshold(spark):
     assert r.recall == 1.0 and r.precision == pytest.approx(0.667)
     vote = df.select(EV.soft_vote(F.lit(0.3), F.lit(0.6)).alias("v")).first().v
     assert vote == pytest.approx(0.5)
+
+
+def test_nan_and_null_scores_are_left_out_everywhere(spark):
+    rows = [("m", "t", i % 2, i / 20) for i in range(20)]
+    bad = rows + [("m", "t", 1, float("nan")), ("m", "t", 0, None)]
+    schema = "model string, split string, label int, p double"
+    a, b = (spark.createDataFrame(x, schema) for x in (rows, bad))
+    for f in (EV.compare_models, EV.threshold_metrics, lambda d: EV.compare_models(d, fixed_threshold=0.3),
+              lambda d: EV.roc_points(d, ["model", "split"]), lambda d: EV.mcc_curve(d, ["model", "split"])):
+        assert sorted(map(repr, f(a).collect())) == sorted(map(repr, f(b).collect()))
+
+
+def test_a_tie_at_one_half_is_class_zero(spark):
+    df = spark.createDataFrame([(0.5,), (0.500001,), (0.4,)], "p double")
+    assert [r.pred for r in EV.default_prediction(df).collect()] == [0, 1, 0]
+
+
+def test_the_scores_are_scanned_once(spark):
+    df = spark.range(500).selectExpr("'m' AS model", "'t' AS split", "CAST(id % 2 AS INT) AS label", "id / 500D AS p")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    counted = df.mapInPandas(count, df.schema)
+    EV.compare_models(counted).collect()
+    assert seen.value == 500
+
+
+def test_two_model_comparison_needs_both(spark):
+    one = spark.createDataFrame([("XGBoost", 1), ("Other", 0)], "model string, class int")
+    assert EV.only_rf_xgb(one).count() == 0
+    both = one.union(spark.createDataFrame([("Random Forest", 1)], "model string, class int"))
+    assert {r.model for r in EV.only_rf_xgb(both).collect()} == {"XGBoost", "Random Forest"}
