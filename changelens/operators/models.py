@@ -6,7 +6,7 @@
 * Classifiers: random forest, gradient-boosted trees, and their 1:2 soft
   vote; each wrapped in 3-fold sigmoid (Platt) calibration whose fold
   models are averaged.
-* Random search with a macro-F1 evaluator; permutation importance.
+* Random search by macro-F1 over folds; permutation importance.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ import zlib
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +44,7 @@ SEARCH_GRIDS = {
     "XGBoost": {"maxIter": [100, 300, 500], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [6, 10, 15],
                 "subsamplingRate": [0.7, 0.8, 1.0], "featureSubsetStrategy": ["0.7", "0.8", "1.0"],
                 "minInfoGain": [0.0, 0.1, 0.3]},
+    "VotingClassifier": {"voting": ["hard", "soft"], "weights": [(1, 1), (2, 1), (1, 2)]},
 }
 
 
@@ -76,14 +76,15 @@ class Preprocessor:
         branches = []
         n_docs = df.count()
         for name, col in (text or {}).items():
-            grams = cut_lineage(TF.doc_grams(df, id_col, col))
-            vocab = TF.vocabulary(TF.term_stats(grams), n_docs, max_features, 1, max_df).cache()
+            grams = TF.doc_grams(df, id_col, col)     # cheap to redo, several times the texts to keep
+            vocab = cut_lineage(TF.vocabulary(TF.term_stats(TF.term_counts(grams, id_col)), n_docs, max_features, 1,
+                                              max_df))
             n_terms = vocab.count()
             if n_terms < 2:
                 continue
-            w = cut_lineage(TF.tfidf(TF.term_counts(grams, id_col, vocab), vocab, id_col, n_docs))
+            w = TF.tfidf(TF.term_counts(grams, id_col, vocab), vocab, id_col, n_docs)
             kk = max(1, min(k, n_terms - 1, n_docs - 1))
-            comps = TF.svd_components(w, id_col, n_terms, kk).cache()
+            comps = TF.svd_components(w, id_col, n_terms, kk)
             branches.append(TextBranch(name, col, vocab, comps, kk))
         return Preprocessor(id_col, num, cats, branches, n_docs)
 
@@ -96,27 +97,34 @@ class Preprocessor:
             names += [f"{b.name}_component_{i + 1}" for i in range(b.k)]
         return names
 
-    def transform(self, df: DataFrame, out: str = "features", keep: list[str] | None = None) -> DataFrame:
-        keep = keep or []
-        cols = [F.col(self.id_col)] + [F.col(c) for c in keep if c != self.id_col]
-        cols += self.numeric.transform_columns()
-        for c, cats in self.categories.items():
-            idx = PP.one_hot_index(c, cats)
-            cols += [F.coalesce((idx == i).cast("double"), F.lit(0.0)).alias(f"{c}_{v}") for i, v in enumerate(cats)]
+    def blocks(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """One column per raw column it is made of: a scaled number, a one-hot
+        array, or an array of text components.  Each text is read once."""
+        cols = [F.col(self.id_col)] + [F.col(c) for c in keep or [] if c != self.id_col]
+        cols += [self.numeric.scale(c).alias(f"b_{c}") for c in self.numeric.kept]
+        cols += [PP.one_hot_vector(c, cats).alias(f"b_{c}") for c, cats in self.categories.items()]
         base = df.select(*cols)
         for b in self.text:
-            n_docs = self.n_docs
             tf = TF.term_counts(TF.doc_grams(df, self.id_col, b.column), self.id_col, b.vocab)
-            w = TF.tfidf(tf, b.vocab, self.id_col, n_docs)
-            proj = TF.svd_project(w, b.comps, self.id_col)
-            wide = proj.groupBy(self.id_col).pivot("component", list(range(b.k))).agg(F.first("value"))
-            wide = wide.select(self.id_col, *[F.col(f"`{i}`").alias(f"{b.name}_component_{i + 1}") for i in range(b.k)])
-            base = base.join(wide, self.id_col, "left")
-        names = self.feature_names()
-        comp_cols = [n for n in names if self.text and n.startswith(tuple(b.name + "_component_" for b in self.text))]
-        if comp_cols:
-            base = base.fillna(0.0, subset=comp_cols)     # documents with no kept term
-        return VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep").transform(base)
+            w = TF.tfidf(tf, b.vocab, self.id_col, self.n_docs)
+            base = base.join(TF.svd_project(w, b.comps, self.id_col, b.k, f"b_{b.column}"), self.id_col, "left")
+            nothing = F.array_repeat(F.lit(0.0), b.k)            # a text with no kept term
+            base = base.withColumn(f"b_{b.column}", F.coalesce(f"b_{b.column}", nothing))
+        return base
+
+    def block_columns(self) -> dict[str, str]:
+        """Raw column -> its block column."""
+        return {c: f"b_{c}" for c in [*self.numeric.kept, *self.categories, *(b.column for b in self.text)]}
+
+    def assemble(self, blocks: DataFrame, out: str = "features") -> DataFrame:
+        """the blocks side by side as one vector, in feature-name order."""
+        parts = [F.array(*[F.col(f"b_{c}") for c in self.numeric.kept])] if self.numeric.kept else []
+        parts += [F.col(f"b_{c}") for c in [*self.categories, *(b.column for b in self.text)]]
+        drop = [f"b_{c}" for c in [*self.numeric.kept, *self.categories, *(b.column for b in self.text)]]
+        return blocks.withColumn(out, array_to_vector(F.concat(*parts))).drop(*drop)
+
+    def transform(self, df: DataFrame, out: str = "features", keep: list[str] | None = None) -> DataFrame:
+        return self.assemble(self.blocks(df, keep), out)
 
 
 # ------------------------------------------------------------ classifiers
@@ -150,9 +158,11 @@ def p1(prob_col: str = "probability") -> Column:
 
 @dataclass
 class FittedScorer:
-    """One uncalibrated scorer: a tree model, or the 1:2 vote of two."""
+    """One uncalibrated scorer: a tree model, or the weighted vote of two
+    (of their probabilities, or of their classes when ``hard``)."""
     models: list
     weights: tuple
+    hard: bool = False
 
     def score(self, df: DataFrame, out: str = "s") -> DataFrame:
         d = df
@@ -160,7 +170,8 @@ class FittedScorer:
         for i, m in enumerate(self.models):
             t = f"__ms{i}_{out}"
             d = m.setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__y{i}").transform(d)
-            d = d.withColumn(t, F.lit(self.weights[i]) * p1(f"__p{i}")).drop(f"__p{i}", f"__r{i}", f"__y{i}")
+            own = (p1(f"__p{i}") > 0.5).cast("double") if self.hard else p1(f"__p{i}")
+            d = d.withColumn(t, F.lit(float(self.weights[i])) * own).drop(f"__p{i}", f"__r{i}", f"__y{i}")
             tmp.append(t)
         total = sum(self.weights)
         d = d.withColumn(out, sum((F.col(t) for t in tmp), F.lit(0.0)) / F.lit(total))
@@ -171,12 +182,18 @@ def fit_scorer(train: DataFrame, kind: str, params: dict | None, seed: int, labe
     w = class_weights(train, label)
     tw = _weighted(train, w, label)
     if kind == "vote":
-        rf = make_estimator("rf", (params or {}).get("rf"), seed, label).fit(tw)
-        gbt = make_estimator("gbt", (params or {}).get("gbt"), seed, label).fit(tw)
-        return FittedScorer([rf, gbt], VOTE_WEIGHTS)
+        p = params or {}
+        rf = make_estimator("rf", p.get("rf"), seed, label).fit(tw)
+        gbt = make_estimator("gbt", p.get("gbt"), seed, label).fit(tw)
+        return vote_of(rf, gbt, p)
     return FittedScorer([make_estimator(kind, params, seed, label).fit(tw)], (1.0,))
 
 
+def vote_of(rf, gbt, params: dict) -> FittedScorer:
+    """L3: the vote of two fitted models, with the settings' weights."""
+    return FittedScorer([rf, gbt], tuple(params.get("weights", VOTE_WEIGHTS)), params.get("voting") == "hard")
+
+
 @dataclass
 class CalibratedModel:
     """L4: fold scorers with their sigmoid maps; probabilities averaged."""
@@ -215,13 +232,20 @@ def platt(scored: DataFrame, label: str = "label", s: str = "s") -> tuple[float,
 
 
 def fit_calibrated(vec: DataFrame, kind: str, params: dict | None = None, folds: int = 3,
-                   key_cols: list[str] | None = None, seed: int = SM.SEED, label: str = "label") -> CalibratedModel:
-    """L4: fit on two folds, calibrate on the third, three times."""
+                   key_cols: list[str] | None = None, seed: int = SM.SEED, label: str = "label",
+                   members: tuple[CalibratedModel, CalibratedModel] | None = None) -> CalibratedModel:
+    """L4: fit on two folds, calibrate on the third, three times.
+
+    ``members``: a forest and boosted trees fitted on the same rows, folds and
+    settings; a vote then takes their fold models instead of fitting them again."""
     key_cols = key_cols or ["__rid"]
     f = cut_lineage(SM.stratified_folds(vec, key_cols, folds, label, seed))
     parts = []
     for k in range(folds):
-        sc = fit_scorer(f.where(F.col("fold") != k), kind, params, seed, label)
+        if kind == "vote" and members:
+            sc = vote_of(*(m.parts[k][0].models[0] for m in members), params or {})
+        else:
+            sc = fit_scorer(f.where(F.col("fold") != k), kind, params, seed, label)
         held = sc.score(f.where(F.col("fold") == k))
         a, b = platt(held, label)
         parts.append((sc, a, b))
@@ -230,68 +254,57 @@ def fit_calibrated(vec: DataFrame, kind: str, params: dict | None = None, folds:
 
 # ---------------------------------------------------------------- search
 
-class MacroF1Evaluator(Evaluator):
-    """Unweighted mean of the per-class F1 (Spark's 'f1' is weighted)."""
-
-    def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
-        super().__init__()
-        self.labelCol, self.predictionCol = labelCol, predictionCol
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        y, yh = F.col(self.labelCol).cast("int"), F.col(self.predictionCol).cast("int")
-        r = dataset.agg(*[F.sum(c.cast("long")).alias(n) for n, c in (
-            ("tp", (y == 1) & (yh == 1)), ("fp", (y == 0) & (yh == 1)),
-            ("fn", (y == 1) & (yh == 0)), ("tn", (y == 0) & (yh == 0)))]).first()
-        tp, fp, fn, tn = (r[k] or 0 for k in ("tp", "fp", "fn", "tn"))
-        f1 = lambda t, a, b: 0.0 if 2 * t + a + b == 0 else 2 * t / (2 * t + a + b)
-        return (f1(tp, fp, fn) + f1(tn, fn, fp)) / 2
-
-    def isLargerBetter(self) -> bool:
-        return True
+def draw_settings(grid: dict, n: int, seed: int = SM.SEED) -> list[dict]:
+    """Up to ``n`` different settings drawn from a grid."""
+    rnd, names, total, out = random.Random(seed), sorted(grid), 1, []
+    for name in names:
+        total *= len(grid[name])
+    while len(out) < min(n, total):
+        one = {name: rnd.choice(grid[name]) for name in names}
+        if one not in out:
+            out.append(one)
+    return out
 
 
 def random_search(vec: DataFrame, kind: str, grid: dict, n_candidates: int = 8, folds: int = 2,
-                  seed: int = SM.SEED, label: str = "label", parallelism: int = 2) -> tuple[dict, float]:
-    """``n_candidates`` settings drawn from ``grid``, each scored by
-    macro-F1 over ``folds`` md5 folds; returns the best setting."""
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    est = make_estimator(kind, None, seed, label)
-    rnd = random.Random(seed)
-    names = sorted(grid)
-    seen, cands = set(), []
-    total = 1
-    for n in names:
-        total *= len(grid[n])
-    while len(cands) < min(n_candidates, total):
-        c = tuple(rnd.choice(grid[n]) for n in names)
-        if c not in seen:
-            seen.add(c)
-            cands.append(c)
-    maps = [{est.getParam(n): v for n, v in zip(names, c)} for c in cands]
-    vec = _weighted(vec, class_weights(vec, label), label)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=MacroF1Evaluator(label),
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    m = cv.fit(vec)
-    best = max(range(len(maps)), key=lambda i: (m.avgMetrics[i], -i))
-    return dict(zip(names, cands[best])), float(m.avgMetrics[best])
+                  seed: int = SM.SEED, label: str = "label", base: dict | None = None,
+                  key_cols: list[str] | None = None, resample=None) -> tuple[dict, float]:
+    """``n_candidates`` settings drawn from ``grid``, laid over the ``base``
+    settings the model will be fitted with, each scored by macro-F1 over
+    ``folds`` md5 folds; returns the best setting and its score (the first of
+    ties).  ``resample`` (such as SMOTE) is applied to the training part of each
+    fold only, so no synthetic row is ever scored."""
+    key_cols = key_cols or ["rid"]
+    f = cut_lineage(SM.stratified_folds(vec, key_cols, folds, label, seed))
+    settings = draw_settings(grid, n_candidates, seed)
+    totals = [0.0] * len(settings)
+    for k in range(folds):
+        part = f.where(F.col("fold") != k).drop("fold")
+        part = cut_lineage(resample(part)) if resample else part
+        held = f.where(F.col("fold") == k)
+        fitted = None
+        for i, one in enumerate(settings):
+            params = {**(base or {}), **one}
+            if kind == "vote":  # the members don't depend on what is searched
+                fitted = fitted or fit_scorer(part, kind, base, seed, label)
+                sc = vote_of(*fitted.models, params)
+            else:
+                sc = fit_scorer(part, kind, params, seed, label)
+            pred = sc.score(held).withColumn("pred", (F.col("s") > 0.5).cast("int"))
+            totals[i] += _macro_f1_by(pred, [], label).first()["f1"]
+    best = max(range(len(settings)), key=lambda i: (totals[i], -i))
+    return settings[best], totals[best] / folds
 
 
 # ---------------------------------------------------------- importance
 
-def permutation_importance(sample: DataFrame, columns: list[str], score_fn, id_col: str, n_repeats: int = 10,
-                           seed: int = SM.SEED, label: str = "label") -> DataFrame:
-    """Macro-F1 drop when one raw column is shuffled, ``n_repeats``
-    times per column; mean and population std of the drops.
-
-    One pass: every sample row is copied once per (column, repeat) tag;
-    within a tag (at most |sample| rows, a bounded window) the rows get a
-    seeded random order whose rank names the donor row; one join brings the
-    donor's values and only the tagged column takes the donor value.  The
-    copies are scored by a single ``score_fn`` call (which must return an
-    int ``pred`` and keep ``__col``/``__rep``) and grouped per tag.
-    """
+def permuted_copies(sample: DataFrame, columns: list[str], id_col: str, n_repeats: int = 10,
+                    seed: int = SM.SEED) -> DataFrame:
+    """A copy of ``sample`` per (``__col``, ``__rep``) in which that one column
+    is permuted: within a copy (at most |sample| rows, a bounded window) the
+    rows get a seeded order whose rank names the donor row, and one join brings
+    the donors' values."""
     ranked = SM.exact_rank(sample, [id_col], None, seed, out="__r0")
-    base_f1 = _macro_f1_by(score_fn(ranked.drop("__r0")), [], label).first()["f1"]
     tags = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c in columns for r in range(n_repeats)])
     copies = ranked.select("*", F.explode(tags).alias("__t")).select(
         "*", F.col("__t.c").alias("__col"), F.col("__t.r").alias("__rep")).drop("__t")
@@ -303,9 +316,19 @@ def permutation_importance(sample: DataFrame, columns: list[str], score_fn, id_c
     j = copies.join(donors, "__donor")
     for c in columns:
         j = j.withColumn(c, F.when(F.col("__col") == c, F.col(f"__d_{c}")).otherwise(F.col(c)))
+    return j.drop("__donor", "__r0", *[f"__d_{c}" for c in columns])
+
+
+def permutation_importance(sample: DataFrame, columns: list[str], score_fn, id_col: str, n_repeats: int = 10,
+                           seed: int = SM.SEED, label: str = "label") -> DataFrame:
+    """Macro-F1 drop when one column is shuffled, ``n_repeats`` times per
+    column; mean and population std of the drops.  All copies are scored by a
+    single ``score_fn`` call (which must return an int ``pred`` and keep
+    ``__col``/``__rep``) and grouped per copy."""
+    base_f1 = _macro_f1_by(score_fn(sample), [], label).first()["f1"]
+    j = permuted_copies(sample, columns, id_col, n_repeats, seed)
     j = j.withColumn(id_col, F.concat_ws("#", F.col(id_col).cast("string"), F.col("__col"),
                                          F.col("__rep").cast("string")))
-    j = j.drop("__donor", "__r0", *[f"__d_{c}" for c in columns])
     per = _macro_f1_by(score_fn(j), ["__col", "__rep"], label)
     drop = per.withColumn("drop", F.lit(base_f1) - F.col("f1"))
     return drop.groupBy(F.col("__col").alias("feature")).agg(F.avg("drop").alias("importance_mean"),

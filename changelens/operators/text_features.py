@@ -1,21 +1,24 @@
 """TF-IDF and truncated SVD over text columns.
 
-Tokens and n-grams are array expressions; the vocabulary, document
-frequencies and weights are grouped aggregates; the SVD runs on Spark's
-distributed RowMatrix and the projection is a join against the bounded
-component table (max_features x k).
+Tokens and n-grams are array expressions.  Texts are dealt by document id
+once, so the counts per (document, term) and the document norms need no
+further shuffle; term statistics are one pre-aggregated shuffle by term.  The
+SVD is a randomized one with a fixed number of passes, each a partial product
+per task; the projection joins an array of loadings per term (at most
+max_features rows) and sums once per document.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .parallel import spread
+from ..session import cut_lineage
 
 # Python's \w on str is "alphanumeric or underscore": letters, numbers and
 # '_' (Java's (?U)\w also takes marks and connector punctuation).  Maximal
@@ -66,37 +69,30 @@ def with_tokens(docs: DataFrame, text_col: str, out: str = "tokens") -> DataFram
 
 
 def doc_grams(docs: DataFrame, id_col: str, text_col: str, n_max: int = 3) -> DataFrame:
-    """(doc, grams): the 1..n_max-grams of each document, in order."""
-    t = with_tokens(spread(docs.select(id_col, text_col)), text_col, "__tok")
+    """(doc, grams): the 1..n_max-grams of each document, in order, dealt by
+    document id."""
+    t = with_tokens(docs.select(id_col, text_col).repartition(id_col), text_col, "__tok")
     return with_ngrams(t, "__tok", "grams", 1, n_max).select(id_col, "grams")
 
 
-def term_stats(grams: DataFrame) -> DataFrame:
-    """(term, df, cf): documents containing the term and its total count.
-
-    Keyed by term only, so partial aggregation combines map-side across
-    documents (a (doc, term) key would hardly combine).  explode_outer: a
-    plain explode makes Catalyst infer a size(...) > 0 filter and push it,
-    with the Python accent strip, below the spread."""
-    # one pass over the grams: every occurrence counts towards cf, the
-    # first one per document (array_distinct) towards df
-    tagged = F.concat(F.transform("grams", lambda g: F.struct(g.alias("t"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
-                      F.transform(F.array_distinct("grams"),
-                                  lambda g: F.struct(g.alias("t"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
-    both = grams.select(F.explode_outer(tagged).alias("x")).where(F.col("x").isNotNull()).select("x.*")
-    return both.groupBy(F.col("t").alias("term")).agg(F.sum("d").cast("long").alias("df"),
-                                                      F.sum("o").cast("long").alias("cf"))
-
-
 def term_counts(grams: DataFrame, id_col: str, vocab: DataFrame | None = None) -> DataFrame:
     """(doc, term, tf), restricted to the vocabulary when one is given
-    (a broadcast semi-join on <= max_features terms before the shuffle)."""
+    (a broadcast semi-join on <= max_features terms).  ``grams`` is dealt by
+    document, so the count runs where the document is.  explode_outer: a plain
+    explode makes Catalyst infer a size(...) > 0 filter and push it, with the
+    Python accent strip, below the exchange."""
     g = grams.select(id_col, F.explode_outer("grams").alias("term")).where(F.col("term").isNotNull())
     if vocab is not None:
         g = g.join(F.broadcast(vocab.select("term")), "term", "left_semi")
     return g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_stats(counts: DataFrame) -> DataFrame:
+    """(term, df, cf) from (doc, term, tf): documents containing the term and
+    its total count, combined map-side."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+
+
 def vocabulary(stats: DataFrame, n_docs: int, max_features: int = 12000,
                min_df: int = 1, max_df: float = 0.7) -> DataFrame:
     """F8: keep terms with min_df <= df <= max_df * n_docs, then the
@@ -120,30 +116,60 @@ def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str, n_docs: int, sublinear:
     return w.select(id_col, "index", "term", (F.col("w") / norm).alias("weight"))
 
 
-def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50) -> DataFrame:
-    """top-k right singular vectors of the TF-IDF matrix (no centring),
-    as a long table (index, component, loading); signs make the largest
-    loading of each component positive."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50, passes: int = 5,
+                   oversample: int = 10, seed: int = 42) -> DataFrame:
+    """top-k right singular vectors of the TF-IDF matrix (no centring) as
+    (index, loadings array<double>); signs make the largest loading of each
+    component positive.
 
-    rows = weights.groupBy(id_col).agg(F.collect_list(F.struct("index", "weight")).alias("e"))
-    rdd = rows.rdd.map(lambda r: MV.sparse(n_features, sorted((x[0], x[1]) for x in r["e"])))
-    k = max(1, min(k, n_features - 1))
-    svd = RowMatrix(rdd).computeSVD(k, computeU=False)
-    V = svd.V.toArray()                                    # n_features x k, bounded
-    out = []
-    for j in range(V.shape[1]):
-        col = V[:, j]
-        sign = 1.0 if col[abs(col).argmax()] >= 0 else -1.0
-        out.extend((int(i), int(j), float(sign * col[i])) for i in range(V.shape[0]) if col[i] != 0.0)
+    Subspace iteration with ``passes`` passes over the rows: each task adds up
+    its part of A'(A Z) for the n_features x (k + oversample) matrix Z, the
+    parts are summed by term, and the driver orthonormalises Z.  What the
+    driver holds is bounded by max_features x (k + oversample)."""
     spark = weights.sparkSession
-    pdf = pd.DataFrame(out, columns=["index", "component", "loading"]).astype(
-        {"index": "int32", "component": "int32", "loading": "float64"})
-    return spark.createDataFrame(pdf, "index int, component int, loading double")
-
-
-def svd_project(weights: DataFrame, comps: DataFrame, id_col: str) -> DataFrame:
-    """X . V as a join with the (bounded) component table, summed per doc."""
-    j = weights.join(F.broadcast(comps), "index")
-    return j.groupBy(id_col, "component").agg(F.sum(F.col("weight") * F.col("loading")).alias("value"))
+    k = max(1, min(k, n_features - 1))
+    width = min(n_features, k + oversample)
+    rows = cut_lineage(weights.groupBy(id_col).agg(F.collect_list(F.struct("index", "weight")).alias("e"))
+                       .select(F.col("e.index").alias("i"), F.col("e.weight").alias("w")))
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_features, width)))[0]
+    for _ in range(passes):
+        product = _normal_product(spark, rows, basis)
+        basis, last = np.linalg.qr(product)[0], basis
+    small = last.T @ product                       # Z' A'A Z
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values)[:k]
+    components = last @ turn[:, order]
+    signs = np.sign(components[np.abs(components).argmax(axis=0), np.arange(len(order))])
+    components *= np.where(signs == 0, 1.0, signs)
+    table = pd.DataFrame({"index": np.arange(n_features, dtype="int32"), "loadings": components.tolist()})
+    return spark.createDataFrame(table, "index int, loadings array<double>")
+
+
+def _normal_product(spark, rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """A'(A Z), summed over the rows' partitions."""
+    sent = spark.sparkContext.broadcast(basis)
+
+    def part(batches):
+        z = sent.value
+        total, seen = np.zeros_like(z), False
+        for b in batches:
+            for i, w in zip(b["i"], b["w"]):
+                i, w = np.asarray(i), np.asarray(w)
+                np.add.at(total, i, np.outer(w, w @ z[i]))
+                seen = True
+        if seen:
+            used = np.flatnonzero(total.any(axis=1))
+            for at in range(0, len(used), 2000):
+                yield pd.DataFrame({"index": used[at:at + 2000], "row": list(total[used[at:at + 2000]])})
+    parts = rows.mapInPandas(part, "index long, row array<double>")
+    sums = parts.groupBy("index").agg(*[F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(basis.shape[1])])
+    got = sums.toPandas()
+    out = np.zeros_like(basis)
+    out[got["index"].to_numpy()] = got.drop(columns="index").to_numpy()
+    return out
+
+
+def svd_project(weights: DataFrame, comps: DataFrame, id_col: str, k: int, out: str = "components") -> DataFrame:
+    """X . V: (id, array of k components), summed once per document."""
+    j = weights.join(F.broadcast(comps), "index")      # <= max_features rows of k numbers
+    return j.groupBy(id_col).agg(F.array(*[F.sum(F.col("weight") * F.col("loadings")[i]) for i in range(k)]).alias(out))
