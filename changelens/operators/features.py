@@ -57,7 +57,3 @@ def backfill(df: DataFrame, expected: list[str]) -> DataFrame:
             df = df.withColumn(c, F.lit(0))
     return df
 
-
-def drop_columns(df: DataFrame, cols) -> DataFrame:
-    """Drop ``repo`` / ``label`` / constant columns when present."""
-    return df.drop(*[c for c in cols if c in df.columns])

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the input has
-    fewer partitions than cores (e.g. a file written as one row group).
+    """Deal the rows round-robin over the cluster's cores when the input is
+    too small to give each core a scan split (e.g. one Parquet row group).
 
-    On a large input the scan already has thousands of splits and this is
-    a no-op, so no shuffle is added where it is not needed."""
-    sc = df.sparkSession.sparkContext
-    target = max(1, sc.defaultParallelism * factor)
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    Decided from the plan's size estimate; nothing runs.  An input that fills
+    the cores by itself stays as it is, so at most ``cores`` splits' worth of
+    data is ever shuffled here."""
+    spark = df.sparkSession
+    target = max(1, spark.sparkContext.defaultParallelism * factor)
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(target) if size < target * split else df

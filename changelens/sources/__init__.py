@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, StringType, StructField,
+from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, IntegralType, StringType, StructField,
                                StructType)
 
 # Reference input schemas (FIXTURES.md §1).
@@ -49,20 +49,36 @@ def require_columns(df: DataFrame, required: list[str]) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
-def read_table(spark: SparkSession, path: str, name: str | None = None,
-               schema: StructType | None = None) -> DataFrame:
-    """Parquet scan.  With a schema the read is checked against it
-    (no inference); content stored as string is accepted and kept."""
+def check_schema(df: DataFrame, schema: StructType, optional: tuple = ()) -> None:
+    """Raise with every column that is absent or of another type.  Text may
+    come as bytes or strings, times as strings or timestamps, and whole numbers
+    in any width."""
+    require_columns(df, [f.name for f in schema.fields if f.name not in optional])
+
+    def kind(t) -> str:
+        if isinstance(t, ArrayType):
+            return f"array<{kind(t.elementType)}>"
+        return {"binary": "text", "string": "text", "timestamp": "text", "timestamp_ntz": "text"}.get(
+            t.typeName(), "whole" if isinstance(t, IntegralType) else t.typeName())
+    wrong = [f"{f.name}: {df.schema[f.name].dataType.simpleString()}, expected {f.dataType.simpleString()}"
+             for f in schema.fields if f.name in df.columns and kind(df.schema[f.name].dataType) != kind(f.dataType)]
+    if wrong:
+        raise ValueError("wrong column types: " + "; ".join(wrong))
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
+               optional: tuple = ("methods",)) -> DataFrame:
+    """Parquet scan; with a schema, its columns and types are checked."""
     df = spark.read.parquet(path)
     if schema is not None:
-        require_columns(df, [f.name for f in schema.fields if f.name != "methods"])
+        check_schema(df, schema, optional)
     return df
 
 
-def read_changes(spark: SparkSession, base: str, kind: str) -> dict[str, DataFrame]:
-    """Load the three splits of ``kind`` ('line' or 'jit') from ``base``:
+def read_changes(spark: SparkSession, base: str, kind: str, splits: tuple = SPLITS) -> dict[str, DataFrame]:
+    """Load the splits of ``kind`` ('line' or 'jit') from ``base``:
     ``{base}/{kind}_{split}.parquet`` (any codec; gzip is read from the footer)."""
     schema = LINE_SCHEMA if kind == "line" else JIT_SCHEMA
-    paths = {s: f"{base.rstrip('/')}/{kind}_{s}.parquet" for s in SPLITS}
+    paths = {s: f"{base.rstrip('/')}/{kind}_{s}.parquet" for s in splits}
     require_inputs(spark, paths)
-    return {s: read_table(spark, p, f"{kind}_{s}", schema) for s, p in paths.items()}
+    return {s: read_table(spark, p, schema) for s, p in paths.items()}

@@ -1,11 +1,10 @@
-"""Sinks (S5-S12): report tables, run folders, model save/load."""
+"""Sinks (S5-S12): report tables, run folders, small files on shared storage."""
 
 from __future__ import annotations
 
 import datetime as _dt
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Display names of the three models and of the two classes.
 MODEL_DISPLAY = {"Randomforest": "Random Forest", "Xgboost": "XGBoost",
@@ -13,17 +12,23 @@ MODEL_DISPLAY = {"Randomforest": "Random Forest", "Xgboost": "XGBoost",
 CLASS_DISPLAY = {0: "Sin Defectos", 1: "Con Defectos"}
 
 
+def join_path(base: str, *names: str) -> str:
+    """Join names to a folder given as a path or a URI."""
+    return "/".join([base.rstrip("/"), *names])
+
+
 def run_dir(base: str, ts: _dt.datetime | None = None) -> str:
     """Timestamped output folder ``base/run_YYYYmmdd_HHMMSS``."""
     ts = ts or _dt.datetime.now(_dt.timezone.utc)
-    return os.path.join(base, ts.strftime("run_%Y%m%d_%H%M%S"))
+    return join_path(base, ts.strftime("run_%Y%m%d_%H%M%S"))
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = True) -> None:
-    """Report tables.  Reports are small aggregates, so one file
-    per report is written (``coalesce(1)`` moves no large data); set
-    ``single_file=False`` for row-level outputs."""
-    out = df.coalesce(1) if single_file else df
+    """Report tables.  ``single_file`` is for tables of a bounded size
+    (models x splits, top-k); the rows are brought together after the last
+    aggregation, so that still runs in parallel.  Tables with a row per
+    repository are written with ``single_file=False``."""
+    out = df.repartition(1) if single_file else df
     w = out.write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
@@ -31,27 +36,23 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool =
         w.parquet(path)
 
 
-def model_path(out_dir: str, model_name: str) -> str:
-    """S6 naming: ``<name>_pipeline_model`` in the run folder."""
-    return os.path.join(out_dir, f"{model_name.lower()}_pipeline_model")
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text (no line feeds) on the storage that ``path`` names."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
 
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=False).first()["value"]
 
-def save_model(model, out_dir: str, model_name: str) -> str:
-    path = model_path(out_dir, model_name)
-    model.write().overwrite().save(path)
-    return path
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, on whatever storage it names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
 
 
 def display_name(stem: str) -> str:
     """Folder stem -> model name -> display name."""
     name = stem.replace("_pipeline_model", "").capitalize()
     return MODEL_DISPLAY.get(name, name)
-
-
-def load_models(models_dir: str) -> dict:
-    """Load every saved model folder; error when there is none."""
-    from pyspark.ml import PipelineModel
-    names = sorted(d for d in os.listdir(models_dir) if d.endswith("_pipeline_model"))
-    if not names:
-        raise FileNotFoundError(f"no saved models in {models_dir}")
-    return {display_name(n): PipelineModel.load(os.path.join(models_dir, n)) for n in names}

@@ -35,8 +35,43 @@ def test_required_columns_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="z"):
         require_columns(df, ["x", "z"])
     out = run_dir(str(tmp_path))
-    write_report(df, os.path.join(out, "t"))
-    back = spark.read.option("header", True).csv(os.path.join(out, "t"))
+    write_report(df, f"{out}/t")
+    back = spark.read.option("header", True).csv(f"{out}/t")
     assert back.collect()[0].asDict() == {"x": "1", "y": "a"}
     assert display_name("votingclassifier_pipeline_model") == "Voting Classifier"
     assert display_name("xgboost_pipeline_model") == "XGBoost"
+
+
+def test_schema_types_are_checked(spark):
+    from changelens.sources import LINE_SCHEMA, check_schema
+    good = spark.createDataFrame([("c", "r", "f", "x")], "commit string, repo string, filepath string, content string")
+    check_schema(good, LINE_SCHEMA)
+    bad = spark.createDataFrame([("c", "r", "f", 1)], "commit string, repo string, filepath string, content int")
+    with pytest.raises(ValueError, match="content: int"):
+        check_schema(bad, LINE_SCHEMA)
+
+
+def test_small_texts_and_folders_by_uri(spark, tmp_path):
+    from changelens.sources.sinks import join_path, list_folders, read_text, write_text
+    base = f"file://{tmp_path}/m"
+    write_text(spark, join_path(base, "a", "meta"), '{"x": 1}')
+    assert read_text(spark, join_path(base, "a", "meta")) == '{"x": 1}'
+    assert list_folders(spark, base) == ["a"] and list_folders(spark, base + "/none") == []
+
+
+def test_no_scratch_folder_off_a_local_master():
+    from changelens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
