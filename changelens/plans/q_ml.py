@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import METRIC_NAMES, with_metrics
 from ..operators import preprocess as PP
 from ..operators import text_features as TF
+from ..session import cut_lineage
 from . import sqlgen as S
 from .catalog import register, table
 
@@ -91,7 +92,7 @@ def anova_f_scores(spark, sf):
         F.col("feature").cast("int"), F.round("f_score", 6).alias("f_score"))
 
 
-@register("top_importance", rows="T1,S9", sql=f"SELECT * FROM ({_ANOVA_SQL}) ORDER BY f_score DESC, feature ASC LIMIT 20")
+@register("top_importance", rows="T1", sql=f"SELECT * FROM ({_ANOVA_SQL}) ORDER BY f_score DESC, feature ASC LIMIT 20")
 def top_importance(spark, sf):
     """Top-20 feature scores (the ANOVA score table stands in for an
     importance table; same ordering rule)."""
@@ -99,14 +100,45 @@ def top_importance(spark, sf):
     return s.orderBy(F.col("f_score").desc(), F.col("feature").asc()).limit(20)
 
 
+_BRAND = "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END"
+
+
+def _brands(spark, sf):
+    """Parts with a NULL brand on every seventh."""
+    return table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice",
+                                           F.expr(_BRAND).alias("p_brand"))
+
+
 @register("one_hot", rows="F5,F6", sql=(
-    "SELECT p_partkey, (dense_rank() OVER (ORDER BY coalesce(p_brand, 'missing')) - 1)::INTEGER AS brand_index, "
-    "(SELECT count(DISTINCT coalesce(p_brand, 'missing')) FROM part)::INTEGER AS n_categories FROM part"))
+    f"WITH p AS (SELECT p_partkey, p_size, coalesce({_BRAND}, 'missing') AS v FROM part), "
+    "c AS (SELECT list(DISTINCT v ORDER BY v) AS cats FROM p WHERE p_size <= 5) "
+    "SELECT p_partkey, array_to_string(list_transform(cats, lambda x: CASE WHEN x = v THEN '1' ELSE '0' END), '') AS vector "
+    "FROM p, c"))
 def one_hot(spark, sf):
-    p = table(spark, sf, "part")
-    cats = PP.one_hot_fit(p, "p_brand")
-    return p.select("p_partkey", PP.one_hot_index("p_brand", cats).cast("int").alias("brand_index"),
-                    F.lit(len(cats)).cast("int").alias("n_categories"))
+    """One-hot vectors with NULL values, and values not among the categories
+    (taken from the small parts only)."""
+    p = _brands(spark, sf)
+    cats = PP.one_hot_fit(p.where("p_size <= 5"), "p_brand")
+    bits = F.transform(PP.one_hot_vector("p_brand", cats), lambda x: x.cast("int").cast("string"))
+    return p.select("p_partkey", F.array_join(bits, "").alias("vector"))
+
+
+@register("feature_names", rows="F12", sql=(
+    "SELECT (row_number() OVER (ORDER BY part, name) - 1)::INTEGER AS place, name FROM ("
+    "SELECT 0 AS part, 'p_retailprice' AS name UNION ALL SELECT 1, 'p_size' UNION ALL "
+    f"SELECT DISTINCT 2, 'p_brand_' || coalesce({_BRAND}, 'missing') FROM part)"))
+def feature_names(spark, sf):
+    """Names of the assembled vector's places: scaled numbers (a constant one is
+    dropped) and one-hot categories."""
+    from ..operators.models import Preprocessor
+    p = _brands(spark, sf).withColumn("same", F.lit(1))
+    pre = Preprocessor.fit(p, "p_partkey", ["p_retailprice", "p_size", "same"], ["p_brand"])
+    names = F.array(*[F.lit(n) for n in pre.feature_names()])
+    wide = pre.transform(p).select(F.posexplode(names).alias("place", "name"), F.col("features"))
+    from pyspark.ml.functions import vector_to_array
+    # a name for every place of every vector
+    return (wide.groupBy("place", "name").agg(F.min(F.size(vector_to_array("features"))).alias("n"))
+            .where(F.col("n") == len(pre.feature_names())).select(F.col("place").cast("int"), "name"))
 
 
 _TOK_SQL = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+')"
@@ -142,51 +174,76 @@ def _tf_sql(src: str, id_col: str) -> str:
 @register("tfidf_vocabulary", rows="F8", sql=_tf_sql("documents", "doc_id") + 'SELECT term, df::BIGINT AS df, cf::BIGINT AS cf, "index" FROM voc')
 def tfidf_vocabulary(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    v = TF.vocabulary(TF.term_stats(TF.doc_grams(d, "doc_id", "text")), d.count())
+    v = TF.vocabulary(TF.term_stats(TF.term_counts(TF.doc_grams(d, "doc_id", "text"), "doc_id")), d.count())
     return v.select("term", F.col("df").cast("long"), F.col("cf").cast("long"), "index")
 
 
 def _tfidf(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", "text")
-    n = b.count()
-    grams = TF.doc_grams(b, "item_id", "text")
-    v = TF.vocabulary(TF.term_stats(grams), n)
-    return TF.tfidf(TF.term_counts(grams, "item_id", v), v, "item_id", n), v
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    n = d.count()
+    counts = TF.term_counts(TF.doc_grams(d, "doc_id", "text"), "doc_id")
+    v = cut_lineage(TF.vocabulary(TF.term_stats(counts), n))
+    kept = TF.term_counts(TF.doc_grams(d, "doc_id", "text"), "doc_id", v)
+    return TF.tfidf(kept, v, "doc_id", n), v, n
 
 
-@register("tfidf_weights", rows="F9", sql=_tf_sql("benchmark", "item_id") + (
-    ", w AS (SELECT tf.item_id, voc.\"index\", tf.term, (1.0 + ln(tf.tf::DOUBLE)) * (ln((SELECT n + 1 FROM nd)::DOUBLE / (voc.df + 1)::DOUBLE) + 1.0) AS w "
+@register("tfidf_weights", rows="F9", sql=_tf_sql("documents", "doc_id") + (
+    ", w AS (SELECT tf.doc_id, voc.\"index\", tf.term, (1.0 + ln(tf.tf::DOUBLE)) * (ln((SELECT n + 1 FROM nd)::DOUBLE / (voc.df + 1)::DOUBLE) + 1.0) AS w "
     "FROM tf JOIN voc ON tf.term = voc.term) "
-    "SELECT item_id, \"index\", term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 9) AS weight FROM w"))
+    "SELECT doc_id, \"index\", term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"))
 def tfidf_weights(spark, sf):
-    w, _ = _tfidf(spark, sf)
-    return w.withColumn("weight", F.round("weight", 9))
+    return _tfidf(spark, sf)[0].withColumn("weight", F.round("weight", 6))
+
 
+_SVD_K = 50
 
-@register("svd_project", rows="F10")
+
+@register("svd_project", rows="F10", sql=(
+    f"SELECT i::INTEGER AS i, j::INTEGER AS j, (i = j)::INTEGER::DOUBLE AS loadings_product, "
+    f"(i = j)::INTEGER::DOUBLE AS scores_product, TRUE AS falling "
+    f"FROM range(0, {_SVD_K}) a(i), range(0, {_SVD_K}) b(j) WHERE i <= j"))
 def svd_project(spark, sf):
-    """Rows-only: SVD signs/rotations are not a SQL result.  Truncated SVD
-    (k <= 50) of the document TF-IDF matrix, rows projected onto it."""
-    w, v = _tfidf(spark, sf)
-    w = w.cache()
-    n_terms = v.count()
-    n = w.select("item_id").distinct().count()
-    comps = TF.svd_components(w, "item_id", n_terms, k=min(50, max(1, n - 1)))
-    return TF.svd_project(w, comps, "item_id")
+    """Truncated SVD (50 components) of the document TF-IDF matrix and the
+    documents' projection, shown by what defines it: the components are
+    orthonormal, the projected documents' components are orthogonal (their
+    products over the singular values are 0 or 1, to 2 digits as a fixed number
+    of passes gives them), and the singular values fall."""
+    w, v, _ = _tfidf(spark, sf)
+    w = cut_lineage(w)
+    comps = TF.svd_components(w, "doc_id", v.count(), _SVD_K)
+    docs = TF.svd_project(w, comps, "doc_id", _SVD_K, "c")
+
+    def products(df, col, name):
+        a = df.select(F.posexplode(F.transform(col, lambda x, i: F.struct(x.alias("x"), F.col(col).alias("all")))).alias("i", "s"))
+        b = a.select("i", F.col("s.x").alias("x"), F.posexplode("s.all").alias("j", "y")).where("i <= j")
+        return b.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias(name))
+    right = products(comps, "loadings", "loadings_product")
+    left = products(docs, "c", "xx")
+    sizes = left.where("i = j").select(F.col("i").alias("k"), F.sqrt("xx").alias("s"))
+    before = sizes.select((F.col("k") + 1).alias("k"), F.col("s").alias("before"))
+    falling = sizes.join(before, "k", "left").agg(
+        F.min(F.coalesce(F.col("s") <= F.col("before") * (1 + 1e-9), F.lit(True))).alias("falling"))
+    at = (left.join(sizes.select(F.col("k").alias("i"), F.col("s").alias("si")), "i")
+          .join(sizes.select(F.col("k").alias("j"), F.col("s").alias("sj")), "j"))
+    both = at.join(right, ["i", "j"]).withColumn("k", F.lit(1)).join(falling.withColumn("k", F.lit(1)), "k")
+
+    def tidy(x, digits):
+        return (F.round(x, digits) + F.lit(0.0)).cast("double")
+    return both.select("i", "j", F.abs(tidy("loadings_product", 6)).alias("loadings_product"),
+                       F.abs(tidy(F.col("xx") / (F.col("si") * F.col("sj")), 2)).alias("scores_product"), "falling")
 
 
 # ------------------------------------------------------ model queries (rows-only)
 
-def _small_config():
+def _config():
+    """The library's settings but for the trees: the reference's 500 rounds of
+    depth 15, three times over for calibration, are tens of thousands of Spark
+    jobs however few the rows.  Trees and rounds are the documented parameters
+    of this query; vocabulary, components, texts and rows are not cut."""
     from .jobs import Config
-    # check-size settings: the reference's forest/boosting sizes (500 trees,
-    # 500 rounds of depth 15) are the library defaults; the registered query
-    # uses small ones so the correctness run stays short.
-    return Config(models=("RandomForest", "XGBoost", "VotingClassifier"),
-                  rf_params={"numTrees": 30, "featureSubsetStrategy": "sqrt", "subsamplingRate": 0.9, "maxDepth": 10},
+    return Config(rf_params={"numTrees": 100, "featureSubsetStrategy": "sqrt", "subsamplingRate": 0.9, "maxDepth": 10},
                   gbt_params={"maxIter": 10, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
-                              "featureSubsetStrategy": "0.7"},
-                  max_features=2000, svd_k=10, test_pct=0.2, val_pct=0.2,
+                              "featureSubsetStrategy": "0.7", "minInfoGain": 0.3},
                   importance=False)   # E11 has its own registered query
 
 
@@ -198,7 +255,7 @@ def model_scores(spark, sf):
     from . import standins as SI
     from .jobs import train
     line, jit = SI.doc_splits(spark, sf)
-    return train(spark, line, jit, _small_config())["scores"]
+    return train(spark, line, jit, _config())["scores"].drop("rid")
 
 
 @register("smote_oversample", rows="B1")
@@ -213,29 +270,72 @@ def smote_oversample(spark, sf):
     return smote(v, "id")
 
 
-@register("permutation_importance", rows="E11,R6,T1")
-def permutation_importance(spark, sf):
-    """Permutation importance of the raw part attributes for a forest that
-    predicts large parts (size > 25) from price and brand/type indices."""
-    from ..operators import models as MD
-    from pyspark.ml.feature import VectorAssembler
-    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_brand", "p_type",
+@register("smote_draws", rows="B1", sql=(
+    "WITH m AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) - 1 AS rk FROM embeddings WHERE label = 0), "
+    "n AS (SELECT count(*) AS n FROM m), t AS (SELECT count(*) - 2 * (SELECT n FROM n) AS need FROM embeddings), "
+    "d AS (SELECT unnest(range(need)) AS draw FROM t) "
+    "SELECT d.draw, m.vec_id AS base, (('0x' || substr(md5('42|nb|' || d.draw), 1, 15))::BIGINT % 5)::BIGINT AS place, "
+    "('0x' || substr(md5('42|gap|' || d.draw), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS gap "
+    "FROM d, n JOIN m ON m.rk = ('0x' || substr(md5('42|base|' || d.draw), 1, 15))::BIGINT % n.n"))
+def smote_draws(spark, sf):
+    """The draws behind the synthetic embeddings of class 0: base point, which
+    of its 5 neighbours, and how far towards it."""
+    from ..operators import smote as SO
+    e = table(spark, sf, "embeddings")
+    mino = e.where(F.col("label") == 0).select("vec_id")
+    n, total = mino.count(), e.count()
+    d = SO.draw_bases(mino, "vec_id", n, total - 2 * n)
+    return d.select("draw", F.col("vec_id").alias("base"), SO.draw_place(F.lit(5)).alias("place"), "gap")
+
+
+_RULE = "(p_retailprice > 1200 OR p_brand = 'Brand#11')"
+_PERMUTED = (
+    "WITH s AS (SELECT p_partkey, p_retailprice, p_brand, (p_size > 25)::INTEGER AS label, "
+    "row_number() OVER (ORDER BY md5('42|' || p_partkey), p_partkey) - 1 AS r0 FROM part), "
+    "r AS (SELECT * FROM s WHERE r0 < 2000), "
+    "t AS (SELECT unnest(['p_retailprice', 'p_brand']) AS col), k AS (SELECT unnest(range(3)) AS rep), "
+    "c AS (SELECT r.*, t.col, k.rep, row_number() OVER (PARTITION BY t.col, k.rep ORDER BY "
+    "md5('42|' || t.col || '|' || k.rep || '|' || p_partkey), p_partkey) - 1 AS donor FROM r, t, k), "
+    "j AS (SELECT c.p_partkey, c.label, c.col, c.rep::INTEGER AS rep, "
+    "CASE WHEN c.col = 'p_retailprice' THEN d.p_retailprice ELSE c.p_retailprice END AS p_retailprice, "
+    "CASE WHEN c.col = 'p_brand' THEN d.p_brand ELSE c.p_brand END AS p_brand FROM c JOIN r d ON d.r0 = c.donor) ")
+
+
+def _importance_sample(spark, sf):
+    from ..operators.sampling import seeded_subset
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_brand",
                                         (F.col("p_size") > 25).cast("int").alias("label"))
-    brands = PP.one_hot_fit(p, "p_brand")
-    types = PP.one_hot_fit(p, "p_type")
+    return seeded_subset(p, 2000, ["p_partkey"])
 
-    def vec(df):
-        d = df.withColumn("b", PP.one_hot_index("p_brand", brands).cast("double")).withColumn(
-            "t", PP.one_hot_index("p_type", types).cast("double")).fillna(-1.0, ["b", "t"])
-        return VectorAssembler(inputCols=["p_retailprice", "b", "t"], outputCol="features").transform(d)
 
-    tr = vec(p).withColumn("__w", F.lit(1.0))
-    model = MD.make_estimator("rf", {"numTrees": 30, "maxDepth": 8}).fit(tr)
+@register("permute_column", rows="E11,R6", sql=_PERMUTED + "SELECT * FROM j")
+def permute_column(spark, sf):
+    """The permuted copies behind the importances (2,000 rows at most, as the
+    importance job takes)."""
+    from ..operators import models as MD
+    out = MD.permuted_copies(_importance_sample(spark, sf), ["p_retailprice", "p_brand"], "p_partkey", 3)
+    return out.select("p_partkey", "label", F.col("__col").alias("col"), F.col("__rep").cast("int").alias("rep"),
+                      "p_retailprice", "p_brand")
 
-    def score(df):
-        out = model.transform(vec(df))
-        return out.withColumn("pred", F.col("prediction").cast("int"))
 
-    from ..operators.sampling import seeded_subset
-    sample = seeded_subset(p, 2000, ["p_partkey"])
-    return MD.permutation_importance(sample, ["p_retailprice", "p_brand", "p_type"], score, "p_partkey", 10)
+def _f1_sql(src: str, g: str = "") -> str:
+    f1 = lambda t, a, b: (f"(CASE WHEN 2 * {t} + {a} + {b} = 0 THEN 0.0 "
+                          f"ELSE 2.0::DOUBLE * {t} / (2 * {t} + {a} + {b}) END)")
+    cells = ", ".join(f"count(*) FILTER (WHERE label = {y} AND {'' if p else 'NOT '}{_RULE}) AS {n}"
+                      for n, y, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)))
+    return (f"SELECT {g}({f1('tp', 'fp', 'fn')} + {f1('tn', 'fn', 'fp')}) / 2 AS f1 FROM (SELECT {g}{cells} FROM {src}"
+            + (f" GROUP BY {g.rstrip(', ')})" if g else ")"))
+
+
+@register("permutation_importance", rows="E11,R6,T1", sql=_PERMUTED + (
+    f", b AS ({_f1_sql('r')}), x AS ({_f1_sql('j', 'col, rep, ')}) "
+    "SELECT col AS feature, round(avg(b.f1 - x.f1), 9) AS importance_mean, "
+    "round(stddev_pop(b.f1 - x.f1), 9) AS importance_std FROM x, b GROUP BY col ORDER BY importance_mean DESC, feature LIMIT 20"))
+def permutation_importance(spark, sf):
+    """Permutation importance of a fixed rule's columns, the top 20."""
+    from ..operators import models as MD
+    imp = MD.permutation_importance(_importance_sample(spark, sf), ["p_retailprice", "p_brand"],
+                                    lambda d: d.withColumn("pred", F.expr(_RULE).cast("int")), "p_partkey", 3)
+    imp = imp.select("feature", F.round("importance_mean", 9).alias("importance_mean"),
+                     F.round("importance_std", 9).alias("importance_std"))
+    return imp.orderBy(F.col("importance_mean").desc(), "feature").limit(20)

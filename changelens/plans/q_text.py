@@ -52,11 +52,24 @@ _metric_query("metrics_todo", "pages", "page_id", "html",
               ["num_todo_comments", "todo_ratio"], "M28,M33")
 
 
+@register("metrics_null_text", rows="M34", sql=S.metrics_query(
+    "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS c FROM documents", ["doc_id"], METRIC_NAMES,
+    {"token_entropy": ENTROPY_DIGITS}))
+def metrics_null_text(spark, sf):
+    """All metrics with every tenth text NULL: such a row is all zero."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text"))
+    out = with_metrics(d, "text", names=METRIC_NAMES).drop("text")
+    return out.withColumn("token_entropy", F.round("token_entropy", ENTROPY_DIGITS))
+
+
 @register("scan_changes", rows="S1,S2,P1",
           sql="SELECT doc_id, source, lang, n_chars FROM documents")
 def scan_changes(spark, sf):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
     from ..sources import read_table
-    return read_table(spark, f"{sf.rstrip('/')}/documents.parquet", "documents").select(
+    schema = StructType([StructField("doc_id", LongType()), StructField("source", StringType()),
+                         StructField("lang", StringType()), StructField("n_chars", LongType())])
+    return read_table(spark, f"{sf.rstrip('/')}/documents.parquet", schema).select(
         "doc_id", "source", "lang", "n_chars")
 
 
@@ -91,9 +104,15 @@ def label_from_lines(spark, sf):
                         P.label_from_lines("lines").alias("label"))
 
 
-@register("decode_utf8", rows="P4", sql="SELECT doc_id, text AS content FROM documents")
+@register("decode_utf8", rows="P4", sql=(
+    "SELECT doc_id, text || chr(65533) || text || chr(64976) || '1' AS content FROM documents"))
 def decode_utf8(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    """Each text twice, with bad bytes and a genuine U+FFFD between: the bad
+    bytes go, the character stays (as does the decoder's escape character)."""
+    text = F.col("text").cast("binary")
+    raw = F.concat(text, F.unhex(F.lit("FFC3")), F.lit("\ufffd").cast("binary"), text, F.unhex(F.lit("E282")),
+                   F.lit("\ufdd01").cast("binary"))
+    d = table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
     return d.select("doc_id", P.decode_text("raw").alias("content"))
 
 
@@ -139,12 +158,23 @@ def file_extension(spark, sf):
 
 
 @register("commit_time", rows="D1-D3", sql=(
-    "SELECT event_id, hour(ts)::INTEGER AS commit_hour, (isodow(ts) - 1)::INTEGER AS commit_day "
-    "FROM events"))
+    "SELECT event_id, CASE WHEN event_id % 10 = 9 THEN 0 ELSE hour(ts) END::INTEGER AS commit_hour, "
+    "CASE WHEN event_id % 10 = 9 THEN 0 ELSE isodow(ts) - 1 END::INTEGER AS commit_day FROM events"))
 def commit_time(spark, sf):
+    """Event times written as date texts in four forms (naive ISO, ISO with an
+    offset, git, mail) and, every tenth, as no date; parsed back to UTC."""
     e = table(spark, sf, "events")
-    return e.select("event_id", C.commit_hour("ts").cast("int").alias("commit_hour"),
-                    C.commit_weekday("ts").cast("int").alias("commit_day"))
+
+    def shifted(minutes):
+        return F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES")
+    forms = F.when(F.col("event_id") % 10 == 9, F.lit("not a date")).when(
+        F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(
+        F.col("event_id") % 4 == 1, F.concat(F.date_format(shifted(120), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).when(
+        F.col("event_id") % 4 == 2, F.concat(F.date_format(shifted(540), "EEE MMM d HH:mm:ss yyyy"), F.lit(" +0900"))
+    ).otherwise(F.concat(F.date_format(shifted(-330), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -0530")))
+    ts = C.parse_commit_time("written")
+    return e.select("event_id", forms.alias("written")).select(
+        "event_id", C.commit_hour(ts).alias("commit_hour"), C.commit_weekday(ts).alias("commit_day"))
 
 
 @register("file_change_freq", rows="J2,A2", sql=(

@@ -21,13 +21,14 @@ TAG_RE = "<[^>]*>"
 def page_changes(spark: SparkSession, sf: str) -> DataFrame:
     """pages -> one change per page: repo = URL host, filepath = URL path,
     full text = the HTML, diff text = the HTML with tags replaced by blanks,
-    no commit time (the time features then take their 0 default)."""
-    p = table(spark, sf, "pages")
+    commit time = the time of the event with the page's id."""
+    times = table(spark, sf, "events").select(F.col("event_id").alias("page_id"), F.col("ts").alias("datetime"))
+    p = table(spark, sf, "pages").join(times, "page_id", "left")
     return p.select(
         F.col("page_id").cast("string").alias("commit"),
         F.regexp_extract("url", HOST_RE, 1).alias("repo"),
         F.regexp_extract("url", PATH_RE, 1).alias("filepath"),
-        F.lit(None).cast("timestamp").alias("datetime"),
+        "datetime",
         F.col("html").alias("content_full"),
         F.regexp_replace("html", TAG_RE, " ").alias("content_diff"),
     )
@@ -37,8 +38,8 @@ PAGE_CHANGES_SQL = (
     "SELECT CAST(page_id AS VARCHAR) AS commit, "
     f"regexp_extract(url, '{HOST_RE}', 1) AS repo, "
     f"regexp_extract(url, '{PATH_RE}', 1) AS filepath, "
-    "NULL::TIMESTAMP AS datetime, html AS content_full, "
-    f"regexp_replace(html, '{TAG_RE}', ' ', 'g') AS content_diff FROM pages"
+    "ts AS datetime, html AS content_full, "
+    f"regexp_replace(html, '{TAG_RE}', ' ', 'g') AS content_diff FROM pages LEFT JOIN events ON event_id = page_id"
 )
 
 
@@ -146,10 +147,10 @@ DOC_CHANGES_SQL = (
 def doc_splits(spark: SparkSession, sf: str) -> tuple[dict, dict]:
     """The reference's six inputs built from documents + labels: each
     document is a change (commit = doc id, repo = source, path from
-    language); the full side is its text as bytes, the diff side its
-    cleaned-free first paragraph (text before the first blank line), the
-    changed-line list is [1] for low-quality documents, [] otherwise;
-    splits are md5 thirds of the document ids."""
+    language); both sides are its whole text as bytes, the commit time is
+    that of the event with the document's id, the changed-line list is [1]
+    for low-quality documents, [] otherwise; splits are md5 thirds of the
+    document ids."""
     from ..operators.sampling import md5_key
     d = table(spark, sf, "documents")
     lab = table(spark, sf, "labels").select("doc_id", "quality")
@@ -161,10 +162,12 @@ def doc_splits(spark: SparkSession, sf: str) -> tuple[dict, dict]:
             F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"),
                      F.lit(".py")).alias("filepath")]
     line = x.select(*keys, F.col("text").cast("binary").alias("content"), "split")
-    diff_text = F.split(F.col("text"), "\n\n", 2).getItem(0)
-    jit = x.select(*keys, diff_text.cast("binary").alias("content"),
-                   F.when(F.col("quality") == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("lines"),
-                   F.lit(None).cast("string").alias("datetime"), F.array().cast("array<string>").alias("methods"), "split")
+    times = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"),
+                                              F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"))
+    jit = x.join(times, "doc_id", "left").select(
+        *keys, F.col("text").cast("binary").alias("content"),
+        F.when(F.col("quality") == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("lines"),
+        "datetime", F.array().cast("array<string>").alias("methods"), "split")
     sp = ("train", "test", "val")
     return ({s: line.where(F.col("split") == s).drop("split") for s in sp},
             {s: jit.where(F.col("split") == s).drop("split") for s in sp})
