@@ -85,8 +85,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(
                 [b.column("label").cast(pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "x"])
     # at most 2 * per_class rows of WIDTH numbers reach the driver
-    got = (df.join(F.broadcast(picked), id_col).select("label", F.col(text_col).alias("text"), id_col)
-           .dropDuplicates([id_col]).select("label", "text").mapInArrow(featurise, "label long, x binary")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = picked.select(F.col(id_col).alias("id"), "label")
+    got = (texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("label", "text")
+           .mapInArrow(featurise, "label long, x binary")
            .orderBy(F.xxhash64("x"), "x").collect())
     if not got:
         return Model(idf, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
