@@ -131,6 +131,7 @@ def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50
     width = min(n_features, k + oversample)
     rows = cut_lineage(weights.groupBy(id_col).agg(F.collect_list(F.struct("index", "weight")).alias("e"))
                        .select(F.col("e.index").alias("i"), F.col("e.weight").alias("w")))
+    rows = rows.coalesce(spark.sparkContext.defaultParallelism)  # one partial product a core
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_features, width)))[0]
     for _ in range(passes):
         product = _normal_product(spark, rows, basis)
@@ -153,9 +154,14 @@ def _normal_product(spark, rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         z = sent.value
         total, seen = np.zeros_like(z), False
         for b in batches:
-            for i, w in zip(b["i"], b["w"]):
-                i, w = np.asarray(i), np.asarray(w)
-                np.add.at(total, i, np.outer(w, w @ z[i]))
+            for at in range(0, len(b), 256):
+                i, w = np.concatenate(b["i"][at:at + 256].to_list()), np.concatenate(b["w"][at:at + 256].to_list())
+                sizes = b["i"][at:at + 256].map(len).to_numpy()
+                ones = np.add.reduceat(w[:, None] * z[i], np.cumsum(sizes) - sizes)     # A Z, a row per document
+                back = w[:, None] * np.repeat(ones, sizes, axis=0)
+                order = np.argsort(i, kind="stable")
+                heads = np.flatnonzero(np.diff(i[order], prepend=-1))
+                total[i[order][heads]] += np.add.reduceat(back[order], heads)
                 seen = True
         if seen:
             used = np.flatnonzero(total.any(axis=1))

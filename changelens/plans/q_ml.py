@@ -3,6 +3,8 @@ A9, T1, L1-L7, E11)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRIC_NAMES, with_metrics
@@ -214,9 +216,14 @@ def svd_project(spark, sf):
     docs = TF.svd_project(w, comps, "doc_id", _SVD_K, "c")
 
     def products(df, col, name):
-        a = df.select(F.posexplode(F.transform(col, lambda x, i: F.struct(x.alias("x"), F.col(col).alias("all")))).alias("i", "s"))
-        b = a.select("i", F.col("s.x").alias("x"), F.posexplode("s.all").alias("j", "y")).where("i <= j")
-        return b.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias(name))
+        def part(batches):
+            for b in batches:
+                if len(b):
+                    x = np.array(b["x"].tolist())
+                    i, j = np.triu_indices(x.shape[1])
+                    yield pd.DataFrame({"i": i, "j": j, "v": (x.T @ x)[i, j]})
+        parts = df.select(F.col(col).alias("x")).mapInPandas(part, "i int, j int, v double")
+        return parts.groupBy("i", "j").agg(F.sum("v").alias(name))
     right = products(comps, "loadings", "loadings_product")
     left = products(docs, "c", "xx")
     sizes = left.where("i = j").select(F.col("i").alias("k"), F.sqrt("xx").alias("s"))
