@@ -41,3 +41,19 @@ def test_feature_table_shape(spark):
     assert ft.columns == FEATURE_COLUMNS and len(FEATURE_COLUMNS) == 73
     r = ft.first()
     assert (r.commit_hour, r.commit_day, r.repo_domain, r.file_change_freq) == (8, 0, "data_science", 1)
+
+
+def test_backfill_adds_missing_columns_as_zero(spark):
+    from changelens.operators.features import backfill
+    out = backfill(spark.createDataFrame([(3, "x")], "loc_full int, repo_domain string"), ["loc_full", "loc_diff"])
+    assert out.columns == ["loc_full", "repo_domain", "loc_diff"]
+    assert tuple(out.first()) == (3, "x", 0)
+
+
+def test_constant_columns_are_left_out_of_the_vector(spark):
+    from changelens.operators.models import Preprocessor
+    df = spark.createDataFrame([("1", 1.0, 5.0, "a"), ("2", 3.0, 5.0, "b")], "id string, x double, same double, c string")
+    pre = Preprocessor.fit(df, "id", ["x", "same"], ["c"])
+    assert pre.feature_names() == ["x", "c_a", "c_b"]
+    assert [r.features.toArray().tolist() for r in pre.transform(df).orderBy("id").collect()] == [
+        [-1.0, 1.0, 0.0], [1.0, 0.0, 1.0]]
