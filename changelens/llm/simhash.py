@@ -125,6 +125,8 @@ def search(members: np.ndarray, probes: np.ndarray, budget: int):
     """Yield (member index, probe index) arrays of pairs within ``budget``
     bits.  ``members`` are distinct and sorted by Gray rank; they are grouped
     under ever longer leading patterns, 8 bits a level."""
+    if not len(members):  # a leaf that only probes reach
+        return
     levels, lows = [], np.zeros(1, np.int64)
     for depth in range(8, 65, 8):
         mask = np.uint64((1 << 64) - (1 << (64 - depth)))
