@@ -3,7 +3,9 @@
 Rows are range-partitioned by their normalised text (Spark samples the
 splitters), sorted externally within each range, and a window compares each
 text with its neighbour in full; the smallest identifier of a run of equal
-texts stays.
+texts stays.  The ranges are cut by the text's first characters and, among
+texts that share those, its hash: the sampled splitters that pass through the
+driver are then short whatever the texts' length.
 
 A text whose copies would overfill one range is cut into several runs: the
 sort key is (text, run), where ``run`` is 0 for all but hot texts.  The hot
@@ -21,6 +23,8 @@ from .storage import cut, partitions
 
 #: Ranges a hot text is cut into, per shuffle partition's share of all bytes.
 RUNS_PER_PARTITION = 4
+#: Characters of a text that the range splitters hold.
+HEAD = 64
 
 
 def normalised(text: Column) -> Column:
@@ -52,13 +56,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if carry:
         cols.append(F.struct(*[F.col(c) for c in carry]).alias("row"))
     keyed = (df.select(*cols, F.xxhash64(normalised(text)).alias("h"))
-             .join(F.broadcast(hot), "h", "left").drop("h")
+             .join(F.broadcast(hot), "h", "left").withColumn("head", F.substring("norm", 1, HEAD))
              .withColumn("runs", F.coalesce("runs", F.lit(1)))
              .withColumn("run", F.pmod(F.xxhash64("id"), F.col("runs")).cast("int")))
-    runs = Window.partitionBy("norm", "run")
+    runs = Window.partitionBy("head", "h", "norm", "run")
     ordered = runs.orderBy(F.col("id").asc_nulls_last())
     first = F.col("place") == 1
-    content = (keyed.repartitionByRange(n_parts, "norm", "run")
+    content = (keyed.repartitionByRange(n_parts, "head", "h", "run")
                .withColumn("place", F.row_number().over(ordered))
                .withColumn("run_keep", F.min("id").over(runs))
                .withColumn("run_size", F.count("*").over(runs)))
