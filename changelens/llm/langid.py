@@ -34,6 +34,8 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 BUCKETS = 1 << 15
+#: Bytes of text scored at once; a worker's arrays are some 40 times that.
+SLICE_BYTES = 3 << 20
 _ORDERS = (1, 2, 3, 4)
 #: A language's script is one that holds this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -109,7 +111,7 @@ def train(df: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows:
     def count(batches):
         for b in batches:
             texts, langs = text_column(b, "text"), b.column("lang").to_pylist()
-            for a, z in slices(pc.binary_length(texts).to_numpy(), 8 << 20):
+            for a, z in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
                 words = Words(texts.slice(a, z - a))
                 grams = list(words.grams())
                 doc = np.repeat(np.arange(z - a), np.diff(words.bounds))
@@ -243,7 +245,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         names = sent.value.languages + ["und"]
         for b in batches:
             texts = text_column(b, "__text")
-            for a, z in slices(pc.binary_length(texts).to_numpy(), 8 << 20):
+            for a, z in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
                 top, score, spans = label(texts.slice(a, z - a), sent.value, penalty)
                 cols = [b.column(c).slice(a, z - a) for c in kept]
                 cols += [pa.array([names[i] for i in top.tolist()], pa.string()), pa.array(score)]
@@ -264,7 +266,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
     def run(batches):
         for b in batches:
             texts = text_column(b, text_col)
-            for a, z in slices(pc.binary_length(texts).to_numpy(), 8 << 20):
+            for a, z in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
                 top, score, _ = label(texts.slice(a, z - a), sent.value, penalty)
                 keep = (top < len(sent.value.languages)) & (score >= least)
                 yield b.slice(a, z - a).filter(pa.array(keep))
