@@ -3,8 +3,8 @@
 Tokens and n-grams are array expressions.  Texts are dealt by document id
 once, so the counts per (document, term) and the document norms need no
 further shuffle; term statistics are one pre-aggregated shuffle by term.  The
-SVD is a randomized one with a fixed number of passes, each a partial product
-per task; the projection joins an array of loadings per term (at most
+SVD passes over the rows, each a partial product per task, until its residual
+is small; the projection joins an array of loadings per term (at most
 max_features rows) and sums once per document.
 """
 
@@ -116,16 +116,20 @@ def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str, n_docs: int, sublinear:
     return w.select(id_col, "index", "term", (F.col("w") / norm).alias("weight"))
 
 
-def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50, passes: int = 5,
-                   oversample: int = 10, seed: int = 42) -> DataFrame:
+def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50, passes: int = 11,
+                   oversample: int = 10, seed: int = 42, tolerance: float = 1e-8, blocks: int = 12) -> DataFrame:
     """top-k right singular vectors of the TF-IDF matrix (no centring) as
     (index, loadings array<double>); signs make the largest loading of each
     component positive.
 
-    Subspace iteration with ``passes`` passes over the rows: each task adds up
-    its part of A'(A Z) for the n_features x (k + oversample) matrix Z, the
-    parts are summed by term, and the driver orthonormalises Z.  What the
-    driver holds is bounded by max_features x (k + oversample)."""
+    Block Lanczos iteration: each task adds up its part of A'(A Z) for the
+    newest n_features x (k + oversample) block Z, the parts are summed by term,
+    and the driver makes the product orthogonal to all blocks so far.  There are
+    at least ``passes`` passes over the rows, and more until the residual
+    |A'A v - s^2 v| of every component is below ``tolerance`` of the largest s^2
+    or the blocks span all there is.  After ``blocks`` blocks the best vectors of
+    their span replace them, so what the driver holds is bounded by
+    max_features x (k + oversample) x 2 (blocks + 1)."""
     spark = weights.sparkSession
     k = max(1, min(k, n_features - 1))
     width = min(n_features, k + oversample)
@@ -133,14 +137,30 @@ def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50
                        .select(F.col("e.index").alias("i"), F.col("e.weight").alias("w")))
     rows = rows.coalesce(spark.sparkContext.defaultParallelism)  # one partial product a core
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_features, width)))[0]
-    for _ in range(passes):
+    held = products = np.zeros((n_features, 0))
+    done = 0
+    while True:
         product = _normal_product(spark, rows, basis)
-        basis, last = np.linalg.qr(product)[0], basis
-    small = last.T @ product                       # Z' A'A Z
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-values)[:k]
-    components = last @ turn[:, order]
-    signs = np.sign(components[np.abs(components).argmax(axis=0), np.arange(len(order))])
+        done += 1
+        held, products = np.hstack((held, basis)), np.hstack((products, product))
+        small = held.T @ products                       # Z' A'A Z
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values)[:width]
+        values, turn = values[order], turn[:, order]
+        components = held @ turn[:, :k]
+        residual = np.linalg.norm(products @ turn[:, :k] - components * values[:k], axis=0).max()
+        if done >= passes and residual <= tolerance * values[0]:
+            break
+        for _ in range(2):
+            product = product - held @ (held.T @ product)
+        left, sizes, _ = np.linalg.svd(product, full_matrices=False)
+        basis = left[:, sizes > 1e-12 * max(values[0], 1e-300)][:, :n_features - held.shape[1]]
+        if not basis.shape[1]:
+            break
+        basis = np.linalg.qr(basis - held @ (held.T @ basis))[0]
+        if held.shape[1] >= blocks * width:
+            held, products = held @ turn, products @ turn
+    signs = np.sign(components[np.abs(components).argmax(axis=0), np.arange(components.shape[1])])
     components *= np.where(signs == 0, 1.0, signs)
     table = pd.DataFrame({"index": np.arange(n_features, dtype="int32"), "loadings": components.tolist()})
     return spark.createDataFrame(table, "index int, loadings array<double>")

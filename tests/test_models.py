@@ -146,3 +146,15 @@ def test_permutation_importance_one_pass(spark):
     imp = {r.feature: r for r in MD.permutation_importance(df, ["a", "b"], score, "rid", 5).collect()}
     assert imp["b"].importance_mean == 0.0 and imp["b"].importance_std == 0.0
     assert imp["a"].importance_mean > 0.2
+
+
+def test_svd_components_equal_the_exact_ones(spark):
+    from changelens.operators.text_features import svd_components
+    r = np.random.default_rng(3)
+    x = r.random((400, 150)) * (r.random((400, 150)) < 0.08)    # values that fall slowly
+    df = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))],
+                               "id long, index int, weight double")
+    got = svd_components(df, "id", 150, 20)
+    v = np.array([row.loadings for row in got.orderBy("index").collect()])
+    exact = np.linalg.svd(x, full_matrices=False)[2][:20]
+    assert np.abs((exact * v.T).sum(axis=1)).min() > 0.999
