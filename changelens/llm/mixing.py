@@ -34,18 +34,21 @@ def _vectors(texts) -> np.ndarray:
 
 def fit_topics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", topics: int = 8,
                sample_rows: int = 2048, rounds: int = 15) -> np.ndarray:
-    """Topic centres: spherical k-means over hashed trigrams of the
-    ``sample_rows`` documents with the smallest hash of their id.  The sample
-    bounds only the fit; every document is then given to its nearest centre."""
+    """Topic centres: spherical k-means over the hashed trigrams of all
+    documents.  The first centres are fitted to the ``sample_rows`` documents
+    with the smallest hash of id and text; then come up to ``rounds`` rounds over
+    all documents, each a sum and a count per centre, until nothing changes.
+    Sums are of whole numbers, so they do not depend on the partitions."""
     def featurise(batches):
         for b in batches:
             texts = text_column(b, "text")
             for a, z in parts(texts):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v.tobytes() for v in _vectors(texts.slice(a, z - a))], pa.binary())], ["x"])
-    ids = (df.select(F.xxhash64(id_col).alias("h")).orderBy("h").limit(sample_rows).distinct())
-    picked = (df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-              .join(F.broadcast(ids), "h", "left_semi").select("text").limit(sample_rows))
+    texts = df.select(F.col(text_col).alias("text"))
+    keyed = df.select(F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    ids = keyed.select("h", "t").orderBy("h", "t").limit(sample_rows).distinct()
+    picked = keyed.join(F.broadcast(ids), ["h", "t"], "left_semi").dropDuplicates(["h", "t"]).select("text")
     got = sorted(bytes(r["x"]) for r in picked.mapInArrow(featurise, "x binary").collect())
     if not got:
         return np.zeros((1, TRIGRAMS), np.float32)
@@ -58,7 +61,37 @@ def fit_topics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", to
         near = (x @ centres.T).argmax(axis=1)
         centres = _unit(np.stack([x[near == i].sum(axis=0) if (near == i).any() else centres[i]
                                   for i in range(len(centres))]))
-    return centres.astype(np.float32)
+    centres = centres.astype(np.float32)
+    for _ in range(rounds):
+        before, centres = centres, _moved(texts, centres)
+        if np.abs(centres - before).max() < 1e-6:
+            break
+    return centres
+
+
+def _moved(texts: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The centres after a round over all of ``texts``."""
+    sent = texts.sparkSession.sparkContext.broadcast(centres)
+
+    def sums(batches):
+        centres = sent.value
+        total = np.zeros(centres.shape, np.int64)
+        for b in batches:
+            column = text_column(b, "text")
+            for a, z in parts(column):
+                x = _vectors(column.slice(a, z - a))
+                near = (x @ centres.T).argmax(axis=1)
+                whole = np.rint(x.astype(np.float64) * (1 << 24)).astype(np.int64)
+                for i in np.unique(near):
+                    total[i] += whole[near == i].sum(axis=0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+    got = texts.mapInArrow(sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(centres.size)
+    for r in got:
+        total[r["at"]] = r["n"]
+    total = total.reshape(centres.shape)
+    return np.where(total.any(axis=1)[:, None], _unit(total), centres).astype(np.float32)
 
 
 def annotate(df: DataFrame, centres: np.ndarray, text_col: str = "text") -> DataFrame:

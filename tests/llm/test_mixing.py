@@ -43,6 +43,17 @@ def test_expected_and_drawn_shares(spark):
     assert {r.doc_id for r in again if r.selected} == {r.doc_id for r in out if r.selected}
 
 
+def test_topics_are_fitted_to_all_documents(spark):
+    rows = [(i, " ".join(words(60, i)), "en", "s", 1) for i in range(600)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    got = mixing.fit_topics(df, topics=3, sample_rows=20, rounds=60)
+    x = mixing._vectors(mixing.pa.array([r[1] for r in rows], mixing.pa.large_string()))
+    near = (x @ got.T).argmax(axis=1)
+    means = mixing._unit(np.stack([x[near == i].astype(float).sum(axis=0) for i in range(3)]))
+    assert np.allclose(got, means, atol=1e-4)  # every centre is the mean of all its documents
+    assert np.array_equal(got, mixing.fit_topics(df.repartition(7), topics=3, sample_rows=20, rounds=60))
+
+
 def test_unlisted_classes_share_one(spark):
     rows = [(i, "a b c", "en", f"s{i % 40}", 1) for i in range(400)]
     out = mixing.mix(spark.createDataFrame(rows, DOC_SCHEMA), listed=5, budget=0.5).collect()
