@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, quality, token_files, warc
+from .alignment import align_corpus
 from .embeddings import near_vectors
 from .exact import exact_dedup
 from .packing import pack
 from .passages import repeated_passages
+from .shards import shard_documents
 from .simhash import simhash_dedup
+from .variants import spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,9 +96,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "selected")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes; equal texts are linked."""
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level against piece tokens of all documents."""
+    return align_corpus(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"),
+                        _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 7 or more code points with 2 or more occurrences in all
+    documents; forms are near words 10 times as frequent."""
+    return spelling_variants(_table(spark, sf_dir, "documents"), least=7, occurrences=2, ratio=10, every=31)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_warc, op3_language_id, op4_token_files, op5_repeated_passages, op6_simhash_near_dedup,
-    op7_near_vectors, op8_exact_dedup, op9_quality, op10_mixing)}
+    op7_near_vectors, op8_exact_dedup, op9_quality, op10_mixing, op11_sharding,
+    op12_cross_tokenizer_alignment, op13_spelling_variants)}
 
 ORACLES = {
     "op2_warc": """
