@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import text_column
+from .storage import text_column, tidy
 from .tokens import slices
 
 #: First code points of script ranges, each up to the next.
@@ -35,7 +35,7 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 BUCKETS = 1 << 15
 #: Bytes of text scored at once; a worker's arrays are some 40 times that.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 _ORDERS = (1, 2, 3, 4)
 #: A language's script is one that holds this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -45,7 +45,7 @@ _letters: np.ndarray | None = None
 def _letter_table() -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _letters
 
 
@@ -69,7 +69,7 @@ class Words:
         lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
         points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(self.n), lengths)
-        keep = _letter_table()[np.minimum(points, 0x2FFFF)]
+        keep = _letter_table()[points]
         self.points, self.word = points[keep], word[keep]
         self.letters = np.bincount(self.word, minlength=self.n)
         script = _SCRIPT_OF[np.searchsorted(_STARTS, self.points, "right") - 1]
@@ -196,7 +196,8 @@ _SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.strin
 
 def label(texts: pa.LargeStringArray, model: Model, penalty: float):
     """Per text: place of the language in ``model.languages`` (their number if
-    there is none) and score; then the spans as a list array."""
+    there is none) and score; the spans as a list array; and the share of letters
+    in words of a script that some language uses."""
     k, docs = len(model.languages), len(texts)
     words = Words(texts)
     doc = np.repeat(np.arange(docs), np.diff(words.bounds))
@@ -207,6 +208,8 @@ def label(texts: pa.LargeStringArray, model: Model, penalty: float):
     total, top = letters.sum(axis=1), letters.argmax(axis=1)
     top[(total == 0) | (k == 0)] = k
     score = letters.max(axis=1) / np.maximum(total, 1) * (top < k)
+    used = words.letters * model.scripts.any(axis=1)[words.script] if k else words.letters * 0
+    known_share = np.bincount(doc, weights=used[words.of], minlength=docs) / np.maximum(total, 1)
     new = np.ones(len(best), bool)
     new[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
@@ -217,7 +220,7 @@ def label(texts: pa.LargeStringArray, model: Model, penalty: float):
         [pa.array(first - words.bounds[doc[first]]), pa.array(ends - words.bounds[doc[first]]),
          pa.array([model.languages[i] for i in best[first].tolist()], pa.string())], fields=list(_SPAN))
     offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[first], minlength=docs))))
-    return top, score, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+    return top, score, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), known_share
 
 
 def _types(schema) -> str:
@@ -246,19 +249,23 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             texts = text_column(b, "__text")
             for a, z in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
-                top, score, spans = label(texts.slice(a, z - a), sent.value, penalty)
+                top, score, spans, _ = label(texts.slice(a, z - a), sent.value, penalty)
                 cols = [b.column(c).slice(a, z - a) for c in kept]
                 cols += [pa.array([names[i] for i in top.tolist()], pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols + [spans] * with_spans,
                                                  kept + ["lang_pred", "score"] + ["spans"] * with_spans)
-    return rows.mapInArrow(run, out_type)
+    return rows.mapInArrow(tidy(run), out_type)
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5,
                     penalty: float = 12.0) -> DataFrame:
-    """The rows of ``df`` whose text is in one language for at least ``least``
-    of its letters; texts without letters go.  All rows stay if no language
-    was learned."""
+    """The rows of ``df`` that have letters, at least ``least`` of them in words
+    of a script that a learned language uses; a text in several known languages
+    stays, however they share it.
+
+    Defined cases: null and empty texts, and those without letters, go; repeated
+    rows stay alike; an empty table gives an empty result; all rows stay if no
+    language was learned; all columns are kept, whatever their names."""
     if not model.languages:
         return df
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -267,7 +274,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
         for b in batches:
             texts = text_column(b, text_col)
             for a, z in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
-                top, score, _ = label(texts.slice(a, z - a), sent.value, penalty)
-                keep = (top < len(sent.value.languages)) & (score >= least)
+                top, _, _, known = label(texts.slice(a, z - a), sent.value, penalty)
+                keep = (top < len(sent.value.languages)) & (known >= least)
                 yield b.slice(a, z - a).filter(pa.array(keep))
-    return df.mapInArrow(run, _types(df.schema))
+    return df.mapInArrow(tidy(run), _types(df.schema))

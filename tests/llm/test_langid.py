@@ -55,6 +55,21 @@ def test_odd_rows(spark):
     assert not {101, 102, 103, 104} & {r.doc_id for r in kept.collect()}
 
 
+def test_letters_of_the_last_planes(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma", "en", "s", 1), (2, "\U00030010\U00030011", None, "s", 1)], DOC_SCHEMA)
+    model = langid.train(df, "text", "lang", "doc_id")
+    assert all(r.lang_pred != "und" for r in langid.predict(df, model).collect())
+
+
+def test_a_text_in_three_known_languages_stays(spark):
+    own = {x: [f"{x}{y}{z}{x}" for y in "aeiou" for z in "klmnr"] for x in ("qu", "sch", "zh")}
+    rows = [(i, " ".join(own[x]), x, "s", 1) for i, x in enumerate(list(own) * 3)]
+    rows.append((100, " ".join(own["qu"][:10] + own["sch"][:8] + own["zh"][:8]), None, "s", 1))
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    model = langid.train(df.where("lang IS NOT NULL"), "text", "lang", "doc_id")
+    assert langid.keep_identified(df, model).where("doc_id = 100").count() == 1
+
+
 def test_nothing_learned_and_empty_table(spark):
     df = spark.createDataFrame([(1, "hello", None, "s", 1)], DOC_SCHEMA)
     model = langid.train(df, "text", "lang", "doc_id")
