@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ SLICE, BLOCK = 2 << 20, 8 << 20
 LANE = 512
 #: Links of groups with several tokens on both sides that are made at once.
 _LINKS = 1 << 21
-#: Words and ids that a worker remembers before it starts anew (about 60 MB).
-CACHE_WORDS, CACHE_IDS = 250_000, 2_000_000
+#: Words and ids that a worker remembers before it starts anew (about 150 MB).
+CACHE_WORDS, CACHE_IDS = 700_000, 8_000_000
 _SPACE_MARK = "▁"
 _ODD = _WHOLE + "|" + _SPACE_MARK
 _workers: dict[tuple, "Pair"] = {}
@@ -60,6 +61,12 @@ class Ragged:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate([np.asarray(r, dtype) for r in rows]) if rows else np.zeros(0, dtype)
 
+    def extend(self, more: list[tuple[np.ndarray, np.ndarray]]):
+        """Add rows, given as (all values, sizes)."""
+        self.flat = np.concatenate([self.flat, *[x[0] for x in more]])
+        self.sizes = np.concatenate([self.sizes, *[x[1] for x in more]])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
     def take(self, at: np.ndarray) -> np.ndarray:
         return gather(self.flat, self.starts[at], self.sizes[at])
 
@@ -103,24 +110,24 @@ class Pair:
 
     def _forget(self):
         self.known: dict[str, int] = {}
-        self.ids = [Ragged([], np.int64), Ragged([], np.int64)]
+        self.ids = [Ragged([], np.int32), Ragged([], np.int32)]
 
     def _learn(self, words: list[str]):
-        rows: list[list] = [[], []]
+        found: list[list] = [[], []]
         for at in range(0, len(words), 2000):
             part = words[at:at + 2000]
-            ids = np.array(self.words_a.encode(self.between.join(part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == self.between_id)
-            rows[0] += [x[x != self.between_id] for x in np.split(ids, cuts)]
+            ids = np.array(self.words_a.encode(self.between.join(part), add_special_tokens=False).ids, np.int32)
+            between = ids == self.between_id
+            bounds = np.concatenate(([-1], np.flatnonzero(between), [len(ids)]))
+            found[0].append((ids[~between], np.diff(bounds) - 1))
             # a leading space is what the model itself puts before a text
             made = self.b.encode([w[1:] if w[0] == " " else w for w in part], num_threads=1)
-            rows[1] += [x if w[0] == " " else x[1:] for w, x in zip(part, made)]
+            made = [x if w[0] == " " else x[1:] for w, x in zip(part, made)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            found[1].append((np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())), sizes))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        for i, new in enumerate(rows):
-            held, more = self.ids[i], Ragged(new, np.int64)
-            held.starts = np.concatenate((held.starts, more.starts + len(held.flat)))
-            held.sizes = np.concatenate((held.sizes, more.sizes))
-            held.flat = np.concatenate((held.flat, more.flat))
+        for held, new in zip(self.ids, found):
+            held.extend(new)
 
     def _by_words(self, texts: pa.LargeStringArray):
         spaced = pc.binary_join_element_wise(pa.scalar("", texts.type), pc.replace_substring(texts, "\n", " \n"),
@@ -138,7 +145,7 @@ class Pair:
         self._learn([w for w in distinct if w not in self.known])
         of = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[
             coded.indices.to_numpy(zero_copy_only=False)]
-        return [(x.take(of), np.bincount(owner, x.sizes[of], len(texts)).astype(np.int64)) for x in self.ids]
+        return [(x.take(of).astype(np.int64), np.bincount(owner, x.sizes[of], len(texts)).astype(np.int64)) for x in self.ids]
 
     def encode(self, texts: pa.LargeStringArray) -> list[list[np.ndarray]]:
         """For A and B, the ids of each text; none for empty texts."""
