@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import cut, partitions, text_column
+from .storage import cut, partitions, text_column, tidy
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LEAVES_PER_PARTITION = 4
@@ -56,15 +56,16 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp long): the fingerprint's bits as a signed 64-bit integer."""
+    """(id, h, fp): a hash of the text, and the fingerprint's bits as a signed
+    64-bit integer."""
     def run(batches):
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.as_buffer() else b"", size, seed)
                    for t in text_column(b, "text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+                [b.column("id"), b.column("h"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "h", "fp"])
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 def _gray_rank(fp):
@@ -217,6 +218,19 @@ def fingerprint_links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return dealt.groupBy("leaf").applyInPandas(_leaf_links(budget), "a long, b long")
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, seed: int, budget: int):
+    """(id, h, fp) of all rows, and per fingerprint its component's smallest id
+    and ``top``: (id, h) of the row that stands for the component, null ids last."""
+    fps = cut(fingerprints(df, id_col, text_col, size, seed), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
+    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("low"), first.alias("top")), "distinct")
+    roots = components(fingerprint_links(distinct, budget), "a", "b")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "low", "top", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min("top").alias("top"))
+    return fps, rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id", "top")
+
+
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   size: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
     """One row per input row: ``id_col``, ``fingerprint`` (16 hex digits),
@@ -227,20 +241,24 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any other; rows with a null id keep their fingerprint and get the component
     of their fingerprint's other ids (null if there are none); repeated rows
     each get a row; an empty table gives an empty result."""
-    fps = cut(fingerprints(df, id_col, text_col, size, seed), "fingerprints")
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    roots = components(fingerprint_links(distinct, budget), "a", "b")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = rooted.join(smallest, "root").select("fp", "component_id")
+    fps, of_fp = _grouped(df, id_col, text_col, size, seed, budget)
     return fps.join(of_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows whose id is the smallest of their component, all columns.
-    Rows with a null id have no place in a component and stay."""
-    dropped = (simhash_dedup(df, id_col, text_col, **params)
-               .where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return df.join(dropped, id_col, "left_anti").select(*df.columns)
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42,
+               budget: int = 2) -> DataFrame:
+    """Of each component the row with the smallest id, all columns.
+
+    Defined cases: rows are told apart by id and text, so a repeated id with
+    another text is a row of its own; of several texts of the smallest id in a
+    component one stays (the smallest hash); fully repeated rows stay or go
+    together (exact dedup tells those); rows with a null id have no place in a
+    component and stay; null and empty texts are one component; an empty table
+    gives an empty result."""
+    fps, of_fp = _grouped(df, id_col, text_col, size, seed, budget)
+    stays = F.col("id").eqNullSafe(F.col("top.id")) & F.col("h").eqNullSafe(F.col("top.h"))
+    dropped = fps.join(of_fp, "fp").where(F.col("id").isNotNull() & ~stays).select(
+        F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
+    return df.join(dropped, same, "left_anti")

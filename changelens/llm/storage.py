@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -40,6 +42,20 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
         else (pafs.LocalFileSystem(), uri)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; when a task ends, the memory it has freed goes
+    back to the system, so that workers that serve several operators in turn
+    do not hold the most that each of them needed."""
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc: nothing to hand back by hand
+            pass
+    return tidied
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.StringArray:
     """A text column of an Arrow batch with nulls as empty strings."""
     return batch.column(name).cast(pa.large_string()).fill_null("")

@@ -84,6 +84,13 @@ def test_keep_first(spark):
     assert simhash.keep_first(df.limit(0)).collect() == []
 
 
+def test_keep_first_tells_rows_of_an_id_apart(spark):
+    a, b = "an own text that nothing else is like at all", "some other text of a few words more or less"
+    rows = [(3, b), (5, a), (5, b), (7, None), (7, ""), (8, None)]
+    kept = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept[:], key=str)[:2] == [(3, b), (5, a)] and sum(i == 7 for i, _ in kept) == 1 and len(kept) == 3
+
+
 def test_components_of_random_links(spark):
     r = random.Random(2)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
