@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from changelens.llm import mixing
 from common import DOC_SCHEMA, odd_documents, words
@@ -54,10 +57,58 @@ def test_topics_are_fitted_to_all_documents(spark):
     assert np.array_equal(got, mixing.fit_topics(df.repartition(7), topics=3, sample_rows=20, rounds=60))
 
 
-def test_unlisted_classes_share_one(spark):
-    rows = [(i, "a b c", "en", f"s{i % 40}", 1) for i in range(400)]
-    out = mixing.mix(spark.createDataFrame(rows, DOC_SCHEMA), listed=5, budget=0.5).collect()
-    assert len(out) == 400 and all(r.probability is not None for r in out)
+def _brute_rake(cells, budget, wanted, temper):
+    """Raking by the definition, over a dict of cells."""
+    total = sum(cells.values())
+    shares = []
+    for i in range(3):
+        seen = Counter()
+        for c, n in cells.items():
+            seen[c[i]] += n / total
+        if i == 0:
+            rest, free = 1 - sum(wanted.values()), sum(n for c, n in seen.items() if c not in wanted)
+            share = {c: wanted.get(c, rest * n / free) for c, n in seen.items()}
+        else:
+            share = {c: n ** temper for c, n in seen.items()}
+        shares.append({c: x / sum(share.values()) for c, x in share.items()})
+    p = dict.fromkeys(cells, budget)
+    for _ in range(300):
+        for i in range(3):
+            now = Counter()
+            for c, n in cells.items():
+                now[c[i]] += p[c] * n
+            p = {c: min(1.0, x * shares[i][c[i]] * budget * total / now[c[i]]) for c, x in p.items()}
+    return p
+
+
+def test_many_sources_are_raked_each_on_its_own(spark, monkeypatch):
+    rows = [(i, "a b c d " * (2 if i % 7 else 1), "en" if i // 300 % 4 else "de", f"s{i % 300:03d}", 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    centres = np.eye(1, mixing.TRIGRAMS, dtype=np.float32)
+    wanted = {"s000": 0.008}
+    cells = Counter()
+    for _, t, lang, source, _ in rows:
+        cells[source, lang, "0"] += len(t.split())
+    want = _brute_rake(cells, 0.3, wanted, 0.7)
+    for limit in (mixing.DRIVER_CELLS, 10):  # in the driver, and as a table
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", limit)
+        out = mixing.mix(df, targets={"source": wanted}, budget=0.3, centres=centres).collect()
+        assert all(abs(r.probability - want[r.source, r.lang, "0"]) < 1e-4 for r in out)
+        share = sum(r.tokens * r.probability for r in out if r.source == "s000") / sum(r.tokens * 0.3 for r in out)
+        assert abs(share - 0.008) < 1e-4
+
+
+def test_unknown_targets_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", 1)], DOC_SCHEMA)
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mix(df, targets={"source": {"nowhere": 0.5}}, topics=1)
+
+
+def test_counts_round_trip():
+    counts = np.zeros((3, mixing.TRIGRAMS), np.int64)
+    counts[0, 5], counts[1, 6], counts[2, 7] = 200, 3000, 1 << 20
+    got = np.concatenate(list(mixing._unpacked(mixing.pa.array(mixing._packed(counts), mixing.pa.binary()))))
+    assert np.allclose(got, mixing._unit(np.log1p(counts)))
 
 
 def test_odd_rows(spark):
