@@ -17,7 +17,7 @@ _LETTER = _UPPER | (np.arange(256) >= 97) & (np.arange(256) <= 122) | (np.arange
 _MARK = ~_LETTER & ~_SPACE & ~((np.arange(256) >= 48) & (np.arange(256) <= 57))
 
 
-def parts(texts: pa.LargeStringArray, limit: int = 4 << 20):
+def parts(texts: pa.LargeStringArray, limit: int = 1 << 20):
     """(from, to) of runs of texts of about ``limit`` bytes and few rows."""
     return slices(np.maximum(pc.binary_length(texts).to_numpy(), limit >> 11), limit)
 

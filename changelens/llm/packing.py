@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from bisect import bisect_right, insort
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import text_column
+from .storage import text_column, tidy
 from .tokens import encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -59,7 +60,7 @@ def pack_block(docs: list[tuple[int, int, int]], tiers: tuple[int, ...], last: b
         pools = [[] for _ in range(t)]
         for x in short:
             pools[route(x[0], tiers)].append(x)
-    rest = [(doc, start, n) for n, doc, start in reversed(pools[0])]
+    rest = deque((doc, start, n) for n, doc, start in reversed(pools[0]))
     sizes, total = [], sum(x[2] for x in rest)
     sizes += [tiers[0]] * (total // tiers[0])
     if last:
@@ -67,13 +68,12 @@ def pack_block(docs: list[tuple[int, int, int]], tiers: tuple[int, ...], last: b
     for size in sizes:
         window, room = [], size
         while room:
-            doc, start, n = rest.pop(0) if len(rest) < 64 else rest.pop()
+            doc, start, n = rest.popleft()
             take = min(n, room)
             window.append((doc, start, take))
             room -= take
             if n > take:
-                rest.insert(0, (doc, start + take, n - take)) if len(rest) < 64 else rest.append(
-                    (doc, start + take, n - take))
+                rest.appendleft((doc, start + take, n - take))
         windows.append(window)
     open_windows = [w for w in windows if not _closed(w, tiers)]
     if not last:  # a window with a gap that nothing could fill waits for the next block
@@ -81,7 +81,7 @@ def pack_block(docs: list[tuple[int, int, int]], tiers: tuple[int, ...], last: b
         windows = [w for w in windows if _closed(w, tiers)]
     else:
         windows = [w for w in windows if _closed(w, tiers)] + _powers(open_windows)
-    return windows, rest
+    return windows, list(rest)
 
 
 def _closed(window, tiers) -> bool:
@@ -201,7 +201,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             id_arrow = b.column("id").type
             keys = b.column("id").to_pylist()
-            for at, ids, lengths in encode.encode(text_column(b, "text")):
+            for at, ids, lengths in encode.encode(text_column(b, "text"), 2 << 20):
                 start = 0
                 for i, n in enumerate(lengths.tolist()):
                     if n:
@@ -213,4 +213,4 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         if waiting:
             yield from flush(True)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
