@@ -9,11 +9,12 @@ def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     """Deal the rows round-robin over the cluster's cores when the input is
     too small to give each core a scan split (e.g. one Parquet row group).
 
-    Decided from the plan's size estimate; nothing runs.  An input that fills
+    Decided from the estimated sizes of what the plan reads; nothing runs.  An input that fills
     the cores by itself stays as it is, so at most ``cores`` splits' worth of
     data is ever shuffled here."""
     spark = df.sparkSession
     target = max(1, spark.sparkContext.defaultParallelism * factor)
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # a join's own estimate is a product
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(target) if size < target * split else df

@@ -117,7 +117,8 @@ def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str, n_docs: int, sublinear:
 
 
 def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50, passes: int = 11,
-                   oversample: int = 10, seed: int = 42, tolerance: float = 1e-8, blocks: int = 12) -> DataFrame:
+                   oversample: int = 10, seed: int = 42, tolerance: float = 1e-8, blocks: int = 12,
+                   limit: int = 60) -> DataFrame:
     """top-k right singular vectors of the TF-IDF matrix (no centring) as
     (index, loadings array<double>); signs make the largest loading of each
     component positive.
@@ -127,7 +128,7 @@ def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50
     and the driver makes the product orthogonal to all blocks so far.  There are
     at least ``passes`` passes over the rows, and more until the residual
     |A'A v - s^2 v| of every component is below ``tolerance`` of the largest s^2
-    or the blocks span all there is.  After ``blocks`` blocks the best vectors of
+    or the blocks span all there is; ``limit`` passes without that are an error.  After ``blocks`` blocks the best vectors of
     their span replace them, so what the driver holds is bounded by
     max_features x (k + oversample) x 2 (blocks + 1)."""
     spark = weights.sparkSession
@@ -151,6 +152,9 @@ def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50
         residual = np.linalg.norm(products @ turn[:, :k] - components * values[:k], axis=0).max()
         if done >= passes and residual <= tolerance * values[0]:
             break
+        if done >= limit:
+            raise RuntimeError(f"the SVD's residual is {residual / max(values[0], 1e-300):.2g} of the largest "
+                               f"eigenvalue after {limit} passes, above {tolerance:.2g}")
         for _ in range(2):
             product = product - held @ (held.T @ product)
         left, sizes, _ = np.linalg.svd(product, full_matrices=False)

@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +102,10 @@ def attach_texts(chosen: DataFrame, jit: DataFrame, line: DataFrame) -> DataFram
     j = _row_hash(jit, "__jit").withColumnRenamed("content", "content_diff")
     l = _row_hash(line.select(*KEYS, "content"), "__line").select(
         "__line", "__line2", F.col("content").alias("content_full"))
-    j = j.drop(*KEYS).dropDuplicates(["__jit", "__jit2"])
+    # texts that were not chosen are left before anything is shuffled by text
+    j = j.drop(*KEYS).join(chosen.select("__jit", "__jit2").distinct(), ["__jit", "__jit2"], "left_semi")
+    l = l.join(chosen.select("__line", "__line2").distinct(), ["__line", "__line2"], "left_semi")
+    j = j.dropDuplicates(["__jit", "__jit2"])
     l = l.dropDuplicates(["__line", "__line2"])
     out = chosen.join(j, ["__jit", "__jit2"]).join(l, ["__line", "__line2"])
     out = out.drop("__jit", "__jit2", "__line", "__line2")
@@ -136,7 +142,8 @@ def sample_splits(keys: dict[str, DataFrame], conf: Config, n_train: int) -> dic
 
 
 def prepare_splits(line: dict, jit: dict, conf: Config) -> dict[str, DataFrame]:
-    """J1 + P3 + R1-R5 + U1 + P4/P5 for the splits given (evaluation has no
+    """J1 + P3 + R1-R5 + U1 + P4/P5 for the splits given, each row with an id
+    ``rid`` (evaluation has no
     train split and takes its sample sizes from ``conf.n_train``)."""
     if conf.data_type not in (0, 1):
         raise ValueError("data_type must be 0 or 1")
@@ -144,7 +151,7 @@ def prepare_splits(line: dict, jit: dict, conf: Config) -> dict[str, DataFrame]:
     chosen = {s: labelled_keys(jit[s], line[s], s) for s in splits}
     if conf.data_type == 1:
         chosen = sample_splits(chosen, conf, chosen["train"].count() if "train" in chosen else conf.n_train)
-    return {s: attach_texts(d, jit[s], line[s]) for s, d in chosen.items()}
+    return {s: attach_texts(_row_id(d), jit[s], line[s]) for s, d in chosen.items()}
 
 
 def features(splits: dict[str, DataFrame], keep=("commit", "repo", "filepath", "label")) -> tuple[dict, list]:
@@ -157,7 +164,8 @@ def features(splits: dict[str, DataFrame], keep=("commit", "repo", "filepath", "
 # ---------------------------------------------------------------- train
 
 def _row_id(df: DataFrame) -> DataFrame:
-    """Unique id per row (bootstrap copies included) for text joins."""
+    """Unique id per chosen key (bootstrap copies included), before any text
+    is joined to it."""
     r = SM.exact_rank(df, KEYS, None, out="__rid")
     return r.withColumn("rid", F.col("__rid").cast("string")).drop("__rid")
 
@@ -180,7 +188,7 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
     overflow is logged and left out, as in the reference; importance that fails
     gives an empty table."""
     conf = conf or Config()
-    splits = {s: cut_lineage(_row_id(d)) for s, d in prepare_splits(line, jit, conf).items()}
+    splits = {s: cut_lineage(d) for s, d in prepare_splits(line, jit, conf).items()}
     # lineage cut: the ML steps run many small jobs; each would otherwise
     # re-plan the 73-column feature expressions (and recompute them after
     # an executor loss)
@@ -207,7 +215,9 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
                     settings["RandomForest"], settings["XGBoost"]) == (params["rf"], params["gbt"]):
                 members = (models["RandomForest"], models["XGBoost"])
             cm = MD.fit_calibrated(train_vec, kind, params, key_cols=["rid"], seed=conf.seed, members=members)
-        except (MemoryError, OverflowError) as e:
+        except Exception as e:
+            if not out_of_memory(e):
+                raise
             log.error("%s left out: %s", name, e)
             continue
         cm.preprocessor = pre
@@ -217,6 +227,8 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
         for split in ("test", "val"):
             p = cm.predict_proba(vec[split]).select("rid", "repo", "filepath", "commit", "label", "p")
             scores.append(p.withColumn("model", F.lit(display_name(name.lower()))).withColumn("split", F.lit(split)))
+    if not models:
+        raise RuntimeError("no model could be trained: all of them were left out, see the log")
     long = cut_lineage(SM.union_all(scores))
     reports = make_reports(long, splits, conf)
     for name, imp in importances.items():
@@ -230,6 +242,15 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
     return {"models": models, "scores": long, "reports": reports, "preprocessor": pre}
 
 
+def out_of_memory(e: BaseException) -> bool:
+    """Is it a lack of memory or an overflow, in Python, the driver's JVM or an
+    executor?  Spark hands the latter on as text of the Java error."""
+    if isinstance(e, (MemoryError, OverflowError)):
+        return True
+    return isinstance(e, (Py4JJavaError, PySparkException)) and bool(
+        re.search(r"OutOfMemory|java heap space|GC overhead limit|MemoryError|OverflowError", str(e), re.IGNORECASE))
+
+
 def write_reports(reports: dict, out: str) -> None:
     """Every report table below the run folder."""
     for name, df in reports.items():
@@ -241,7 +262,7 @@ def _importance_or_empty(spark, cm, test_ft, conf, name) -> DataFrame:
     try:
         return cut_lineage(model_importance(cm, test_ft, conf))
     except Exception as e:  # the reference goes on with an empty table
-        log.error("no permutation importance for %s: %s", name, e)
+        log.exception("no permutation importance for %s: %s", name, e)
         return spark.createDataFrame([], "feature string, importance_mean double, importance_std double")
 
 
@@ -382,7 +403,7 @@ def evaluate(spark: SparkSession, models_dir: str, line: dict, jit: dict, conf:
     models = load_models(spark, models_dir)
     wanted = ("test", "val")
     splits = prepare_splits({s: line[s] for s in wanted}, {s: jit[s] for s in wanted}, conf)
-    ft = {s: cut_lineage(feature_table(_row_id(d), keep=["rid", "commit", "repo", "filepath", "label"]))
+    ft = {s: cut_lineage(feature_table(d, keep=["rid", "commit", "repo", "filepath", "label"]))
           for s, d in splits.items()}
     scores = []
     for split, d in ft.items():

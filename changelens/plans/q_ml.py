@@ -268,7 +268,7 @@ def model_scores(spark, sf):
 @register("smote_oversample", rows="B1")
 def smote_oversample(spark, sf):
     """SMOTE over the embeddings: class 0 against the rest, minority
-    oversampled to parity with LSH neighbours (k = 5)."""
+    oversampled to parity with exact neighbours (k = 5)."""
     from pyspark.ml.functions import array_to_vector
     from ..operators.smote import smote
     e = table(spark, sf, "embeddings")
@@ -277,6 +277,19 @@ def smote_oversample(spark, sf):
     return smote(v, "id")
 
 
+@register("knn_exact", rows="B1", sql=(
+    "WITH p AS (SELECT a.vec_id AS src, b.vec_id AS nb, list_sum(list_transform(range(1, len(a.embedding) + 1), "
+    "lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS sq "
+    "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), "
+    "r AS (SELECT src, nb, sq, row_number() OVER (PARTITION BY src ORDER BY round(sq, 12), nb) AS place FROM p) "
+    "SELECT src, nb, place::INTEGER AS place, round(sqrt(sq), 6) AS dist FROM r WHERE place <= 5"))
+def knn_exact(spark, sf):
+    """The 5 nearest other embeddings of every embedding, exactly."""
+    from ..operators import neighbours as NB
+    e = table(spark, sf, "embeddings")
+    return NB.knn_exact(e, "vec_id", "embedding", 5).withColumn("dist", F.round("dist", 6))
+
+
 @register("smote_draws", rows="B1", sql=(
     "WITH m AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) - 1 AS rk FROM embeddings WHERE label = 0), "
     "n AS (SELECT count(*) AS n FROM m), t AS (SELECT count(*) - 2 * (SELECT n FROM n) AS need FROM embeddings), "
@@ -295,22 +308,24 @@ def smote_draws(spark, sf):
     return d.select("draw", F.col("vec_id").alias("base"), SO.draw_place(F.lit(5)).alias("place"), "gap")
 
 
-_RULE = "(p_retailprice > 1200 OR p_brand = 'Brand#11')"
+_RULE = "(p_retailprice > 1200 OR p_brand = 'Brand#11' OR p_type < 'F')"
+_COLUMNS, _REPEATS = ["p_retailprice", "p_brand", "p_type"], 10
 _PERMUTED = (
-    "WITH s AS (SELECT p_partkey, p_retailprice, p_brand, (p_size > 25)::INTEGER AS label, "
+    "WITH s AS (SELECT p_partkey, p_retailprice, p_brand, p_type, (p_size > 25)::INTEGER AS label, "
     "row_number() OVER (ORDER BY md5('42|' || p_partkey), p_partkey) - 1 AS r0 FROM part), "
     "r AS (SELECT * FROM s WHERE r0 < 2000), "
-    "t AS (SELECT unnest(['p_retailprice', 'p_brand']) AS col), k AS (SELECT unnest(range(3)) AS rep), "
+    "t AS (SELECT unnest(['p_retailprice', 'p_brand', 'p_type']) AS col), k AS (SELECT unnest(range(10)) AS rep), "
     "c AS (SELECT r.*, t.col, k.rep, row_number() OVER (PARTITION BY t.col, k.rep ORDER BY "
     "md5('42|' || t.col || '|' || k.rep || '|' || p_partkey), p_partkey) - 1 AS donor FROM r, t, k), "
     "j AS (SELECT c.p_partkey, c.label, c.col, c.rep::INTEGER AS rep, "
     "CASE WHEN c.col = 'p_retailprice' THEN d.p_retailprice ELSE c.p_retailprice END AS p_retailprice, "
-    "CASE WHEN c.col = 'p_brand' THEN d.p_brand ELSE c.p_brand END AS p_brand FROM c JOIN r d ON d.r0 = c.donor) ")
+    "CASE WHEN c.col = 'p_brand' THEN d.p_brand ELSE c.p_brand END AS p_brand, "
+    "CASE WHEN c.col = 'p_type' THEN d.p_type ELSE c.p_type END AS p_type FROM c JOIN r d ON d.r0 = c.donor) ")
 
 
 def _importance_sample(spark, sf):
     from ..operators.sampling import seeded_subset
-    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_brand",
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_brand", "p_type",
                                         (F.col("p_size") > 25).cast("int").alias("label"))
     return seeded_subset(p, 2000, ["p_partkey"])
 
@@ -320,9 +335,9 @@ def permute_column(spark, sf):
     """The permuted copies behind the importances (2,000 rows at most, as the
     importance job takes)."""
     from ..operators import models as MD
-    out = MD.permuted_copies(_importance_sample(spark, sf), ["p_retailprice", "p_brand"], "p_partkey", 3)
+    out = MD.permuted_copies(_importance_sample(spark, sf), _COLUMNS, "p_partkey", _REPEATS)
     return out.select("p_partkey", "label", F.col("__col").alias("col"), F.col("__rep").cast("int").alias("rep"),
-                      "p_retailprice", "p_brand")
+                      "p_retailprice", "p_brand", "p_type")
 
 
 def _f1_sql(src: str, g: str = "") -> str:
@@ -339,10 +354,30 @@ def _f1_sql(src: str, g: str = "") -> str:
     "SELECT col AS feature, round(avg(b.f1 - x.f1), 9) AS importance_mean, "
     "round(stddev_pop(b.f1 - x.f1), 9) AS importance_std FROM x, b GROUP BY col ORDER BY importance_mean DESC, feature LIMIT 20"))
 def permutation_importance(spark, sf):
-    """Permutation importance of a fixed rule's columns, the top 20."""
+    """Permutation importance of a fixed rule's columns, 10 repeats, the top 20."""
     from ..operators import models as MD
-    imp = MD.permutation_importance(_importance_sample(spark, sf), ["p_retailprice", "p_brand"],
-                                    lambda d: d.withColumn("pred", F.expr(_RULE).cast("int")), "p_partkey", 3)
+    imp = MD.permutation_importance(_importance_sample(spark, sf), _COLUMNS,
+                                    lambda d: d.withColumn("pred", F.expr(_RULE).cast("int")), "p_partkey", _REPEATS)
     imp = imp.select("feature", F.round("importance_mean", 9).alias("importance_mean"),
                      F.round("importance_std", 9).alias("importance_std"))
     return imp.orderBy(F.col("importance_mean").desc(), "feature").limit(20)
+
+
+@register("forest_importance", rows="E11,L1,L7,T1")
+def forest_importance(spark, sf):
+    """Permutation importance (10 repeats) of the columns of a forest trained on
+    half of the parts to tell dear or early types, on the other half."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from ..operators import models as MD
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice",
+                                        F.expr("CAST(p_retailprice > 1200 OR p_type < 'F' AS INT)").alias("label"))
+    codes = [StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep") for c in ("p_brand", "p_type")]
+    rows = VectorAssembler(inputCols=["p_retailprice", "p_size", "p_brand_code", "p_type_code"], outputCol="features")
+    forest = RandomForestClassifier(numTrees=30, maxDepth=6, maxBins=256, seed=42, predictionCol="pred")
+    model = Pipeline(stages=[*codes, rows, forest]).fit(p.where("p_partkey % 2 = 0"))
+    imp = MD.permutation_importance(p.where("p_partkey % 2 = 1"), ["p_retailprice", "p_size", "p_brand", "p_type"],
+                                    lambda d: model.transform(d).withColumn("pred", F.col("pred").cast("int")),
+                                    "p_partkey", 10)
+    return imp.orderBy(F.col("importance_mean").desc(), "feature").limit(20)
