@@ -76,7 +76,8 @@ class Preprocessor:
         branches = []
         n_docs = df.count()
         for name, col in (text or {}).items():
-            grams = TF.doc_grams(df, id_col, col)     # cheap to redo, several times the texts to keep
+            # texts are tokenized once; grams, several times the texts, are made anew from the tokens
+            grams = TF.token_grams(cut_lineage(TF.doc_tokens(df, id_col, col)), id_col)
             vocab = cut_lineage(TF.vocabulary(TF.term_stats(TF.term_counts(grams, id_col)), n_docs, max_features, 1,
                                               max_df))
             n_terms = vocab.count()

@@ -68,11 +68,21 @@ def with_tokens(docs: DataFrame, text_col: str, out: str = "tokens") -> DataFram
     return norm.withColumn(out, F.regexp_extract_all(F.col("__norm"), F.lit(TOKEN_RE), 0)).drop("__norm")
 
 
+def doc_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tokens) of each document, dealt by document id.  About as large as
+    the texts, so a caller that needs grams twice may keep it."""
+    return with_tokens(docs.select(id_col, text_col).repartition(id_col), text_col, "__tok").select(id_col, "__tok")
+
+
+def token_grams(tokens: DataFrame, id_col: str, n_max: int = 3) -> DataFrame:
+    """(doc, grams): the 1..n_max-grams of ``doc_tokens``, in order."""
+    return with_ngrams(tokens, "__tok", "grams", 1, n_max).select(id_col, "grams")
+
+
 def doc_grams(docs: DataFrame, id_col: str, text_col: str, n_max: int = 3) -> DataFrame:
     """(doc, grams): the 1..n_max-grams of each document, in order, dealt by
     document id."""
-    t = with_tokens(docs.select(id_col, text_col).repartition(id_col), text_col, "__tok")
-    return with_ngrams(t, "__tok", "grams", 1, n_max).select(id_col, "grams")
+    return token_grams(doc_tokens(docs, id_col, text_col), id_col, n_max)
 
 
 def term_counts(grams: DataFrame, id_col: str, vocab: DataFrame | None = None) -> DataFrame:

@@ -183,9 +183,9 @@ def tfidf_vocabulary(spark, sf):
 def _tfidf(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     n = d.count()
-    counts = TF.term_counts(TF.doc_grams(d, "doc_id", "text"), "doc_id")
-    v = cut_lineage(TF.vocabulary(TF.term_stats(counts), n))
-    kept = TF.term_counts(TF.doc_grams(d, "doc_id", "text"), "doc_id", v)
+    grams = TF.token_grams(cut_lineage(TF.doc_tokens(d, "doc_id", "text")), "doc_id")  # texts are tokenized once
+    v = cut_lineage(TF.vocabulary(TF.term_stats(TF.term_counts(grams, "doc_id")), n))
+    kept = TF.term_counts(grams, "doc_id", v)
     return TF.tfidf(kept, v, "doc_id", n), v, n
 
 
