@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from changelens.llm import queries
+from common import DOC_SCHEMA, odd_documents
 from test_exact import _normal
 from test_simhash import _fingerprint
 
@@ -34,6 +35,29 @@ def test_stages_keep_the_columns_and_their_contracts(spark):
     assert 0.5 * len(rows[3]) < len(rows[4]) < len(rows[3])
 
 
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    rows = [(*r, "x", 1.5, None) for r in odd_documents()] + [(3, "another text for an id that is there", "en", "s1", 1, "y", None, 7)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA + ", h string, topic double, id long")
+    for docs in (df, df.limit(0)):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}-{docs is df}-{len(list(tmp_path.iterdir()))}")
+            stage(spark, docs, SMALL).write.parquet(path)
+            after = spark.read.parquet(path)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert after.dtypes == docs.dtypes, name
+            docs = after
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert ids <= {r[0] for r in rows} and not ids & {101, 102, 103, 104}
+
+
+def test_a_repeated_id_with_another_text_is_another_document(spark):
+    a, b = "an own text that nothing else is like at all", "some other text of a few words more or less"
+    docs = spark.createDataFrame([(3, b, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1)], DOC_SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SMALL).cache()
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(3, b), (5, a)]
+
+
 def test_run_packs_what_is_left(spark):
     out = corpus_pipeline.run(spark, SMALL).collect()
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
