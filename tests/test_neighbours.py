@@ -104,3 +104,10 @@ def test_memory_errors_of_spark_are_told_from_others():
     assert jobs.out_of_memory(MemoryError()) and jobs.out_of_memory(OverflowError())
     assert jobs.out_of_memory(PySparkException("Job aborted: java.lang.OutOfMemoryError: Java heap space"))
     assert not jobs.out_of_memory(PySparkException("cannot resolve column")) and not jobs.out_of_memory(ValueError("OutOfMemory"))
+
+
+def test_forest_importance_finds_what_the_label_is_made_of(spark):
+    from changelens.plans.q_ml import forest_importance
+    got = {r.feature: r.importance_mean for r in forest_importance(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == {"p_retailprice", "p_size", "p_brand", "p_type"}
+    assert got["p_type"] > 0.2 and abs(got["p_size"]) < 0.1 and abs(got["p_brand"]) < 0.1
