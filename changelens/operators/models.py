@@ -118,16 +118,30 @@ class Preprocessor:
         return {c: f"b_{c}" for c in [*self.numeric.kept, *self.categories, *(b.column for b in self.text)]}
 
     def assemble(self, blocks: DataFrame, out: str = "features") -> DataFrame:
-        """the blocks side by side as one vector, in feature-name order."""
+        """the blocks side by side as one vector, in feature-name order; the
+        names are the vector's ML attributes (see ``named_places``)."""
         parts = [F.array(*[F.col(f"b_{c}") for c in self.numeric.kept])] if self.numeric.kept else []
         parts += [F.col(f"b_{c}") for c in [*self.categories, *(b.column for b in self.text)]]
         drop = [f"b_{c}" for c in [*self.numeric.kept, *self.categories, *(b.column for b in self.text)]]
-        return blocks.withColumn(out, array_to_vector(F.concat(*parts))).drop(*drop)
+        names = self.feature_names()
+        attributes = {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]},
+                                  "num_attrs": len(names)}}
+        return blocks.withColumn(out, array_to_vector(F.concat(*parts))).drop(*drop).withMetadata(out, attributes)
 
     def transform(self, df: DataFrame, out: str = "features", keep: list[str] | None = None) -> DataFrame:
         return self.assemble(self.blocks(df, keep), out)
 
 
+def named_places(df: DataFrame, features: str = "features") -> list[str]:
+    """the names in a vector column's ML attributes, in order of place;
+    ``feature_<i>`` for a place without a name, and no names at all if the column
+    has no attributes."""
+    attributes = df.schema[features].metadata.get("ml_attr", {})
+    found = {a["idx"]: a.get("name") for group in attributes.get("attrs", {}).values() for a in group}
+    size = attributes.get("num_attrs", max(found, default=-1) + 1)
+    return [found.get(i) or f"feature_{i}" for i in range(size)]
+
+
 # ------------------------------------------------------------ classifiers
 
 def class_weights(df: DataFrame, label: str = "label") -> dict:

@@ -57,3 +57,11 @@ def test_constant_columns_are_left_out_of_the_vector(spark):
     assert pre.feature_names() == ["x", "c_a", "c_b"]
     assert [r.features.toArray().tolist() for r in pre.transform(df).orderBy("id").collect()] == [
         [-1.0, 1.0, 0.0], [1.0, 0.0, 1.0]]
+
+
+def test_places_without_names_get_placeholders(spark):
+    from changelens.operators.models import named_places
+    df = spark.range(1).withColumn("features", F.array(F.lit(1.0)))
+    assert named_places(df) == []
+    some = {"ml_attr": {"attrs": {"numeric": [{"idx": 1, "name": "b"}]}, "num_attrs": 3}}
+    assert named_places(df.withMetadata("features", some)) == ["feature_0", "b", "feature_2"]
