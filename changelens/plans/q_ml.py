@@ -230,8 +230,7 @@ def svd_project(spark, sf):
     """Truncated SVD (50 components) of the document TF-IDF matrix and the
     documents' projection, shown by what defines it: the components are
     orthonormal, the projected documents' components are orthogonal (their
-    products over the singular values are 0 or 1, to 2 digits as a fixed number
-    of passes gives them), and the singular values fall."""
+    products over the singular values are 0 or 1, to 2 digits), and the singular values fall."""
     w, v, _ = _tfidf(spark, sf)
     w = cut_lineage(w)
     comps = TF.svd_components(w, "doc_id", v.count(), _SVD_K)
