@@ -11,20 +11,20 @@
 
 from __future__ import annotations
 
+import math
 import random
-import zlib
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_dealt
 from . import preprocess as PP
 from . import sampling as SM
 from . import text_features as TF
+from .evaluation import score_counts
 
 # The reference's model settings.  Spark trees stop at depth
 # 30, so an unlimited forest depth maps to MAX_DEPTH.
@@ -77,9 +77,9 @@ class Preprocessor:
         n_docs = df.count()
         for name, col in (text or {}).items():
             # texts are tokenized once; grams, several times the texts, are made anew from the tokens
-            grams = TF.token_grams(cut_lineage(TF.doc_tokens(df, id_col, col)), id_col)
-            vocab = cut_lineage(TF.vocabulary(TF.term_stats(TF.term_counts(grams, id_col)), n_docs, max_features, 1,
-                                              max_df))
+            grams = TF.token_grams(cut_lineage_dealt(TF.doc_tokens(df, id_col, col)), id_col)
+            vocab = cut_lineage(TF.vocabulary(TF.frequent_stats(grams, id_col, n_docs, max_features, 1, max_df),
+                                              n_docs, max_features, 1, max_df))
             n_terms = vocab.count()
             if n_terms < 2:
                 continue
@@ -230,20 +230,62 @@ class CalibratedModel:
         return d.withColumn("pred", (F.col("p") > F.lit(threshold)).cast("int"))
 
 
-def platt(scored: DataFrame, label: str = "label", s: str = "s") -> tuple[float, float]:
-    """Sigmoid calibration with the prior-corrected soft targets
-    t+ = (N+ + 1)/(N+ + 2), t- = 1/(N- + 2), fitted as a weighted logistic
-    regression on two copies of each row (no regularisation)."""
-    counts = SM.class_counts(scored, label)
-    npos, nneg = counts.get(1, 0), counts.get(0, 0)
-    tp, tn = (npos + 1.0) / (npos + 2.0), 1.0 / (nneg + 2.0)
-    t = F.when(F.col(label) == 1, F.lit(tp)).otherwise(F.lit(tn))
-    pos = scored.select(F.col(s).alias("x"), F.lit(1.0).alias("y"), t.alias("w"))
-    neg = scored.select(F.col(s).alias("x"), F.lit(0.0).alias("y"), (F.lit(1.0) - t).alias("w"))
-    data = VectorAssembler(inputCols=["x"], outputCol="fx").transform(pos.unionByName(neg))
-    lr = LogisticRegression(featuresCol="fx", labelCol="y", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=100).fit(data)
-    return float(lr.coefficients[0]), float(lr.intercept)
+def platt(scored: DataFrame, label: str = "label", s: str = "s", tolerance: float = 1e-12,
+          limit: int = 100) -> tuple[float, float]:
+    """Sigmoid calibration p = 1 / (1 + exp(-(a s + b))) to the prior-corrected
+    soft targets t+ = (N+ + 1)/(N+ + 2), t- = 1/(N- + 2), without a penalty.
+
+    Scores are scanned once, into their rows per class.  On these counts Newton's
+    method starts at a = 0 and the log odds of the classes; a step is one
+    aggregate, halved while it does not lower the loss; it ends when the mean
+    gradient is at most ``tolerance`` or no step lowers the loss any more.
+    NULL and NaN scores and labels other than 0 and 1 are left out; equal scores
+    give a = 0, no rows (0, 0)."""
+    counts = score_counts(scored, label=label, p=s).where(F.col("pos") + F.col("zero") > 0)
+    counts = cut_lineage(counts.select(F.col(s).alias("x"), "pos", "zero"))
+    n = counts.agg(F.sum("pos").alias("pos"), F.sum("zero").alias("zero"), F.min("x").alias("low"),
+                   F.max("x").alias("high")).first()
+    if n["pos"] is None:
+        return 0.0, 0.0
+    high, low = (n["pos"] + 1.0) / (n["pos"] + 2.0), 1.0 / (n["zero"] + 2.0)
+    total = float(n["pos"] + n["zero"])
+    start = math.log((n["pos"] + 1.0) / (n["zero"] + 1.0))
+
+    def at(a: float, b: float):
+        z = F.lit(a) * F.col("x") + F.lit(b)
+        rows = (F.col("pos") + F.col("zero")).cast("double")
+        target = F.col("pos") * F.lit(high) + F.col("zero") * F.lit(low)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))       # log(1 + exp(z))
+        miss, spread_ = rows * p - target, rows * p * (F.lit(1.0) - p)
+        sums = (rows * soft - target * z, miss * F.col("x"), miss, spread_ * F.col("x") * F.col("x"),
+                spread_ * F.col("x"), spread_)
+        return [v / total for v in counts.agg(*[F.sum(v).alias(f"v{i}") for i, v in enumerate(sums)]).first()]
+
+    a, b = 0.0, start
+    now = at(a, b)
+    for _ in range(limit):
+        loss, ga, gb, haa, hab, hbb = now
+        alike = n["low"] == n["high"]                    # then only b can be told
+        if max(0.0 if alike else abs(ga), abs(gb)) <= tolerance:
+            break
+        if alike:
+            da, db = 0.0, -gb / hbb
+        else:
+            det = haa * hbb - hab * hab
+            da, db = -(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det
+        step, slope = 1.0, ga * da + gb * db
+        while True:
+            then = at(a + step * da, b + step * db)
+            if then[0] <= loss + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        if then[0] >= loss:                              # as low as doubles can tell
+            if max(abs(then[1]), abs(then[2])) < max(abs(ga), abs(gb)):
+                a, b = a + step * da, b + step * db
+            break
+        a, b, now = a + step * da, b + step * db, then
+    return a, b
 
 
 def fit_calibrated(vec: DataFrame, kind: str, params: dict | None = None, folds: int = 3,

@@ -1,9 +1,9 @@
 """TF-IDF and truncated SVD over text columns.
 
-Tokens and n-grams are array expressions.  Texts are dealt by document id
-once, so the counts per (document, term) and the document norms need no
-further shuffle; term statistics are one pre-aggregated shuffle by term.  The
-SVD passes over the rows, each a partial product per task, until its residual
+Tokens and n-grams are array expressions.  Texts are dealt to parts once, so
+the counts per (document, term), per (part, term) and the document norms need
+no further shuffle.  The vocabulary shuffles only terms that are frequent enough
+in some part to be in it (``frequent_stats``).  The SVD passes over the rows, each a partial product per task, until its residual
 is small; the projection joins an array of loadings per term (at most
 max_features rows) and sums once per document.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import cut_lineage
+from .parallel import spread
 
 # Python's \w on str is "alphanumeric or underscore": letters, numbers and
 # '_' (Java's (?U)\w also takes marks and connector punctuation).  Maximal
@@ -68,33 +69,68 @@ def with_tokens(docs: DataFrame, text_col: str, out: str = "tokens") -> DataFram
     return norm.withColumn(out, F.regexp_extract_all(F.col("__norm"), F.lit(TOKEN_RE), 0)).drop("__norm")
 
 
+#: Name of a document's part: one value a shuffle partition.
+PART = "__part"
+
+
+def _part_names(spark, n: int) -> list[int]:
+    """A number per shuffle partition that Spark's hash sends there (n of them;
+    40 n numbers are tried, which leaves none of them without)."""
+    tried = spark.range(40 * n, numPartitions=1).select(F.col("id").cast("int").alias("name"))
+    tried = tried.groupBy(F.pmod(F.hash("name"), F.lit(n)).alias("to")).agg(F.min("name").alias("name"))
+    return sorted(r["name"] for r in tried.collect())
+
+
+def dealt(docs: DataFrame, id_col: str) -> DataFrame:
+    """The documents dealt evenly by id to as many parts as there are shuffle
+    partitions, one part a partition, with the part's name in ``PART``: what is
+    grouped by it and anything else needs no shuffle."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = F.array(*[F.lit(v) for v in _part_names(docs.sparkSession, n)])
+    place = F.pmod(F.xxhash64(id_col), F.size(names)).cast("int")
+    return docs.withColumn(PART, names[place]).repartition(n, PART)
+
+
+def doc_keys(df: DataFrame, id_col: str) -> list[str]:
+    """What names a document in a table dealt to parts or not."""
+    return [PART, id_col] if PART in df.columns else [id_col]
+
+
 def doc_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tokens) of each document, dealt by document id.  About as large as
-    the texts, so a caller that needs grams twice may keep it."""
-    return with_tokens(docs.select(id_col, text_col).repartition(id_col), text_col, "__tok").select(id_col, "__tok")
+    """(part, doc, tokens) of each document, dealt to parts.  About as large as
+    the texts, so a caller that needs grams twice may keep it.  Tokens are dealt,
+    not texts: a Python step doesn't pass on how its rows are dealt."""
+    tokens = with_tokens(spread(docs.select(id_col, text_col)), text_col, "__tok")
+    return dealt(tokens.select(id_col, "__tok"), id_col)
 
 
 def token_grams(tokens: DataFrame, id_col: str, n_max: int = 3) -> DataFrame:
-    """(doc, grams): the 1..n_max-grams of ``doc_tokens``, in order."""
-    return with_ngrams(tokens, "__tok", "grams", 1, n_max).select(id_col, "grams")
+    """(part, doc, grams): the 1..n_max-grams of ``doc_tokens``, in order."""
+    return with_ngrams(tokens, "__tok", "grams", 1, n_max).select(*doc_keys(tokens, id_col), "grams")
 
 
 def doc_grams(docs: DataFrame, id_col: str, text_col: str, n_max: int = 3) -> DataFrame:
-    """(doc, grams): the 1..n_max-grams of each document, in order, dealt by
-    document id."""
+    """(part, doc, grams): the 1..n_max-grams of each document, in order, dealt
+    to parts."""
     return token_grams(doc_tokens(docs, id_col, text_col), id_col, n_max)
 
 
+def _terms(grams: DataFrame, id_col: str) -> DataFrame:
+    """A row per gram.  explode_outer: a plain explode makes Catalyst infer a
+    size(...) > 0 filter and push it, with the Python accent strip, below the
+    exchange."""
+    rows = grams.select(*doc_keys(grams, id_col), F.explode_outer("grams").alias("term"))
+    return rows.where(F.col("term").isNotNull())
+
+
 def term_counts(grams: DataFrame, id_col: str, vocab: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf), restricted to the vocabulary when one is given
-    (a broadcast semi-join on <= max_features terms).  ``grams`` is dealt by
-    document, so the count runs where the document is.  explode_outer: a plain
-    explode makes Catalyst infer a size(...) > 0 filter and push it, with the
-    Python accent strip, below the exchange."""
-    g = grams.select(id_col, F.explode_outer("grams").alias("term")).where(F.col("term").isNotNull())
+    """(part, doc, term, tf), restricted to the vocabulary when one is given
+    (a broadcast semi-join on terms of a checked size).  The count runs in the
+    document's part."""
+    g = _terms(grams, id_col)
     if vocab is not None:
         g = g.join(F.broadcast(vocab.select("term")), "term", "left_semi")
-    return g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return g.groupBy(*doc_keys(grams, id_col), "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(counts: DataFrame) -> DataFrame:
@@ -103,27 +139,83 @@ def term_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
+#: One term in so many is counted first, to guess the least count of the vocabulary.
+TERM_SAMPLE = 64
+#: Candidate terms are broadcast up to this size; beyond it all terms are shuffled.
+CANDIDATE_BYTES = 64 << 20
+
+
+def _in_range(stats: DataFrame, n_docs: int, min_df: int, max_df: float) -> DataFrame:
+    """Terms in at least ``min_df`` documents and at most ``max_df`` of them."""
+    high = max_df * n_docs if isinstance(max_df, float) else max_df
+    return stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(high))))
+
+
+def frequent_stats(grams: DataFrame, id_col: str, n_docs: int, max_features: int = 12000, min_df: int = 1,
+                   max_df: float = 0.7) -> DataFrame:
+    """(term, df, cf) of terms among which the vocabulary's surely are, without a
+    shuffle of all terms; ``grams`` is dealt to parts.
+
+    1. The terms of one hash class in ``TERM_SAMPLE`` are counted; their ranks
+       suggest a total count ``bound`` that a little over ``max_features`` terms reach.
+    2. A term of ``bound`` occurrences has ``bound`` / parts of them in some part, so
+       terms below that everywhere are left out; of the others those whose
+       occurrences seen, and at most so many less one in each part where they were
+       not, can make ``bound`` are the candidates.
+    3. The candidates are counted exactly.  All terms of at least ``bound`` are among
+       them, so if ``max_features`` of these are in range, the vocabulary is too;
+       otherwise ``bound`` is halved.
+
+    Where ``bound`` / parts is no more than 1 (few documents) or the candidates are
+    larger than ``CANDIDATE_BYTES``, all terms are counted by one shuffle."""
+    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = int(1.2 * max_features / TERM_SAMPLE) + 8
+    some = term_stats(_sampled_counts(grams, id_col))
+    top = _in_range(some, n_docs, min_df, max_df).orderBy(F.col("cf").desc()).limit(wanted)
+    least = top.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("cf")).first()
+    bound = least["cf"] if least["n"] == wanted else 0
+    while bound > parts:
+        share = -(-bound // parts)
+        here = _terms(grams, id_col).groupBy(PART, "term").agg(F.count(F.lit(1)).alias("cf"))
+        seen = here.where(F.col("cf") >= share).groupBy("term").agg(F.sum("cf").alias("cf"),
+                                                                    F.count(F.lit(1)).alias("n"))
+        possible = seen.where(F.col("cf") + (parts - F.col("n")) * (share - 1) >= bound)
+        candidates = cut_lineage(possible.select("term"))
+        size = candidates.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+        if size > CANDIDATE_BYTES:
+            break
+        exact = cut_lineage(term_stats(term_counts(grams, id_col, candidates)).where(F.col("cf") >= bound))
+        if _in_range(exact, n_docs, min_df, max_df).count() >= max_features:
+            return exact
+        bound //= 2
+    return term_stats(term_counts(grams, id_col))
+
+
+def _sampled_counts(grams: DataFrame, id_col: str) -> DataFrame:
+    rows = _terms(grams, id_col).where(F.pmod(F.xxhash64("term"), F.lit(TERM_SAMPLE)) == 0)
+    return rows.groupBy(*doc_keys(grams, id_col), "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def vocabulary(stats: DataFrame, n_docs: int, max_features: int = 12000,
                min_df: int = 1, max_df: float = 0.7) -> DataFrame:
     """F8: keep terms with min_df <= df <= max_df * n_docs, then the
     ``max_features`` most frequent (ties by term); index = alphabetical."""
-    high = max_df * n_docs if isinstance(max_df, float) else max_df
-    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(high))))
+    kept = _in_range(stats, n_docs, min_df, max_df)
     top = kept.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
     # bounded by max_features rows, so one ordering task is fine here
     return top.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str, n_docs: int, sublinear: bool = True) -> DataFrame:
-    """(doc, index, term, weight), L2-normalised per document.
+    """(part, doc, index, term, weight), L2-normalised per document.
     weight = (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
     v = F.broadcast(vocab.select("term", "index", "df"))     # <= max_features rows
     j = tf.join(v, "term", "inner")
     tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if sublinear else F.col("tf").cast("double")
     idf = F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1).cast("double")) + F.lit(1.0)
     w = j.withColumn("w", tfw * idf)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "index", "term", (F.col("w") / norm).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*doc_keys(tf, id_col))))
+    return w.select(*doc_keys(tf, id_col), "index", "term", (F.col("w") / norm).alias("weight"))
 
 
 def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50, passes: int = 11,
@@ -144,7 +236,7 @@ def svd_components(weights: DataFrame, id_col: str, n_features: int, k: int = 50
     spark = weights.sparkSession
     k = max(1, min(k, n_features - 1))
     width = min(n_features, k + oversample)
-    rows = cut_lineage(weights.groupBy(id_col).agg(F.collect_list(F.struct("index", "weight")).alias("e"))
+    rows = cut_lineage(weights.groupBy(*doc_keys(weights, id_col)).agg(F.collect_list(F.struct("index", "weight")).alias("e"))
                        .select(F.col("e.index").alias("i"), F.col("e.weight").alias("w")))
     rows = rows.coalesce(spark.sparkContext.defaultParallelism)  # one partial product a core
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_features, width)))[0]
@@ -212,4 +304,5 @@ def _normal_product(spark, rows: DataFrame, basis: np.ndarray) -> np.ndarray:
 def svd_project(weights: DataFrame, comps: DataFrame, id_col: str, k: int, out: str = "components") -> DataFrame:
     """X . V: (id, array of k components), summed once per document."""
     j = weights.join(F.broadcast(comps), "index")      # <= max_features rows of k numbers
-    return j.groupBy(id_col).agg(F.array(*[F.sum(F.col("weight") * F.col("loadings")[i]) for i in range(k)]).alias(out))
+    sums = F.array(*[F.sum(F.col("weight") * F.col("loadings")[i]) for i in range(k)])
+    return j.groupBy(*doc_keys(weights, id_col)).agg(sums.alias(out)).drop(PART)

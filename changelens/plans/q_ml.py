@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.metrics import METRIC_NAMES, with_metrics
 from ..operators import preprocess as PP
 from ..operators import text_features as TF
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_dealt
 from . import sqlgen as S
+from . import standins as SI
 from .catalog import register, table
 
 LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -198,15 +199,17 @@ def _tf_sql(src: str, id_col: str) -> str:
 @register("tfidf_vocabulary", rows="F8", sql=_tf_sql("documents", "doc_id") + 'SELECT term, df::BIGINT AS df, cf::BIGINT AS cf, "index" FROM voc')
 def tfidf_vocabulary(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    v = TF.vocabulary(TF.term_stats(TF.term_counts(TF.doc_grams(d, "doc_id", "text"), "doc_id")), d.count())
+    n = d.count()
+    grams = TF.token_grams(cut_lineage_dealt(TF.doc_tokens(d, "doc_id", "text")), "doc_id")  # texts are tokenized once
+    v = TF.vocabulary(TF.frequent_stats(grams, "doc_id", n), n)
     return v.select("term", F.col("df").cast("long"), F.col("cf").cast("long"), "index")
 
 
 def _tfidf(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     n = d.count()
-    grams = TF.token_grams(cut_lineage(TF.doc_tokens(d, "doc_id", "text")), "doc_id")  # texts are tokenized once
-    v = cut_lineage(TF.vocabulary(TF.term_stats(TF.term_counts(grams, "doc_id")), n))
+    grams = TF.token_grams(cut_lineage_dealt(TF.doc_tokens(d, "doc_id", "text")), "doc_id")  # texts are tokenized once
+    v = cut_lineage(TF.vocabulary(TF.frequent_stats(grams, "doc_id", n), n))
     kept = TF.term_counts(grams, "doc_id", v)
     return TF.tfidf(kept, v, "doc_id", n), v, n
 
@@ -216,7 +219,7 @@ def _tfidf(spark, sf):
     "FROM tf JOIN voc ON tf.term = voc.term) "
     "SELECT doc_id, \"index\", term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"))
 def tfidf_weights(spark, sf):
-    return _tfidf(spark, sf)[0].withColumn("weight", F.round("weight", 6))
+    return _tfidf(spark, sf)[0].select("doc_id", "index", "term", F.round("weight", 6).alias("weight"))
 
 
 _SVD_K = 50
@@ -329,6 +332,36 @@ def smote_draws(spark, sf):
     return d.select("draw", F.col("vec_id").alias("base"), SO.draw_place(F.lit(5)).alias("place"), "gap")
 
 
+def _platt_sql(name: str, src: str) -> str:
+    """Newton's method as a recursive query over every row (no counts)."""
+    return (
+        f"{name}_r AS (SELECT label, p AS x FROM {src} WHERE p IS NOT NULL AND NOT isnan(p)), "
+        f"{name}_n AS (SELECT sum(label)::DOUBLE AS n1, sum(1 - label)::DOUBLE AS n0 FROM {name}_r), "
+        f"{name}_t AS (SELECT x, CASE WHEN label = 1 THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS t "
+        f"FROM {name}_r, {name}_n), "
+        f"{name}_w AS (SELECT 0 AS k, 0.0::DOUBLE AS a, ln((n1 + 1) / (n0 + 1)) AS b FROM {name}_n UNION ALL "
+        "SELECT k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), "
+        "b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM ("
+        "SELECT k, a, b, sum((q - t) * x) AS ga, sum(q - t) AS gb, sum(q * (1 - q) * x * x) AS haa, "
+        "sum(q * (1 - q) * x) AS hab, sum(q * (1 - q)) AS hbb FROM ("
+        f"SELECT k, a, b, x, t, 1 / (1 + exp(-(a * x + b))) AS q FROM {name}_w, {name}_t WHERE k < 12) GROUP BY k, a, b)), "
+        f"{name}_f AS (SELECT '{name}' AS source, round(a, 6) AS a, round(b, 6) AS b FROM {name}_w WHERE k = 12)")
+
+
+@register("platt_sigmoid", rows="L4", sql=(
+    f"WITH RECURSIVE {_platt_sql('customer', '(' + SI.SCORED_CUSTOMERS_SQL + ')')}, "
+    f"{_platt_sql('lineitem', '(' + SI.SCORED_LINES_SQL + ')')} "
+    "SELECT * FROM customer_f UNION ALL SELECT * FROM lineitem_f"))
+def platt_sigmoid(spark, sf):
+    """The sigmoid maps that calibrate two score tables, a continuous one and
+    one of eleven values."""
+    from ..operators import models as MD
+    maps = [(name, *MD.platt(rows(spark, sf), s="p"))
+            for name, rows in (("customer", SI.scored_customers), ("lineitem", SI.scored_lines))]
+    return spark.createDataFrame(maps, "source string, a double, b double").select(
+        "source", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
 _RULE = "(p_retailprice > 1200 OR p_brand = 'Brand#11' OR p_type < 'F')"
 _COLUMNS, _REPEATS = ["p_retailprice", "p_brand", "p_type"], 10
 _PERMUTED = (

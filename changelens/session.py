@@ -64,3 +64,18 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def cut_lineage_dealt(df):
+    """As ``cut_lineage``, for rows whose last shuffle has a stated number of
+    partitions: the result knows how its rows are dealt, so grouping by that
+    needs no other shuffle.  An adaptive plan doesn't tell, and has nothing to
+    adapt there, so this one job is planned without it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
