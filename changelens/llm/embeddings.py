@@ -6,7 +6,10 @@ evenly over the axes, and split into blocks of ``block_dims`` axes.  Cosine
 is within that block's proportional share.  Each block is range-joined: cells
 are the leaves of a k-d tree (planes from a bounded sample; they only balance
 the work), every vector is a member of its own cell and is sent as a probe to
-later cells whose box is within the budget.  Within a cell, blocked products
+later cells whose box is within the budget.  Members and probes are counted per
+cell first, without vectors: a cell with too many members is cut into parts,
+whose members are probes of the later parts, and only a part with too many
+probes is cut into slices, each with the part's members.  Within a slice, blocked products
 find the pairs within budget; a pair counts in the first block that finds it
 and is then verified exactly in double precision.  A task returns link counts
 per vector and a spanning forest of its links, never the pairs.
@@ -25,7 +28,8 @@ from .components import components
 from .simhash import forest
 from .storage import cut
 
-CELL_ROWS = 4096
+CELL_ROWS = 4096      # members a cell should have
+FULL_CELLS = 4        # a cell of more than so many times that is cut into parts
 PROBE_SLICE = 1 << 18
 SAMPLE_ROWS = 16384
 _SLACK = 1 + 1e-9
@@ -146,19 +150,85 @@ def _near_pairs(members: np.ndarray, probes: np.ndarray, budget: float, own: boo
         yield m, p
 
 
-def _cell_links(blocks: Blocks, threshold: float, slices: int, chunk: int = 1 << 16):
+class Slices:
+    """Numbers for the slices of all cells of one block, from the counts of
+    their members and probes."""
+
+    def __init__(self, members: np.ndarray, probes: np.ndarray):
+        self.parts = np.maximum(1, np.where(members > FULL_CELLS * CELL_ROWS, -(-members // CELL_ROWS), 1))
+        probes = probes + np.where(self.parts > 1, members, 0)
+        self.slices = np.maximum(1, -(-probes // PROBE_SLICE))
+        self.start = np.cumsum(self.parts * self.slices) - self.parts * self.slices
+
+    @staticmethod
+    def _ranges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i repeated sizes[i] times, 0 .. sizes[i] - 1 for each i)."""
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        return at, np.arange(len(at)) - (np.cumsum(sizes) - sizes)[at]
+
+    def deal(self, ids: np.ndarray, home: np.ndarray, q: np.ndarray, leaf: np.ndarray):
+        """(row, slice number, role) of members and probes; ``q`` visits ``leaf``.
+        Members are in each slice of their part (role 2 in the first, else 1); a
+        probe (0) is in one slice of each part of the cell, a member in one of
+        each later part of its own."""
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        part = (mixed % self.parts[home].astype(np.uint64)).astype(np.int64)
+        row, piece = self._ranges(self.slices[home])
+        where = [(row, (self.start[home] + part * self.slices[home])[row] + piece, np.where(piece == 0, 2, 1))]
+        for rows, cell, least in ((q, leaf, np.zeros(len(q), np.int64)), (np.arange(len(home)), home, part + 1)):
+            at, later = self._ranges(self.parts[cell] - least)
+            rows, cell, later = rows[at], cell[at], later + least[at]
+            piece = ((mixed[rows] >> np.uint64(8)) % self.slices[cell].astype(np.uint64)).astype(np.int64)
+            where.append((rows, self.start[cell] + later * self.slices[cell] + piece, np.zeros(len(rows), np.int64)))
+        return [np.concatenate(x) for x in zip(*where)]
+
+
+def _visits(blocks: Blocks, turned: np.ndarray):
+    """Per block: each row's own cell, and (row, later cell) within budget."""
+    for tree, budget, s, e in zip(blocks.trees, blocks.budgets, blocks.cuts, blocks.cuts[1:]):
+        home = tree.home(turned[:, s:e])
+        q, leaf = tree.walk(turned[:, s:e], budget)
+        later = leaf > home[q]
+        yield home, q[later], leaf[later]
+
+
+def cell_counts(classes: DataFrame, sent) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per block: members and probes of each cell (at most ``SAMPLE_ROWS`` cells
+    a block, so the counts fit the driver)."""
+    def count(batches):
+        bl = sent.value
+        totals = [np.zeros((2, t.leaves), np.int64) for t in bl.trees]
+        for b in batches:
+            turned = bl.turn(_matrix(b.column("vector"), bl.dims))[1]
+            for total, (home, _, leaf) in zip(totals, _visits(bl, turned)):
+                total += np.stack((np.bincount(home, minlength=total.shape[1]),
+                                   np.bincount(leaf, minlength=total.shape[1])))
+        for i, (members, probes) in enumerate(totals):
+            cell = np.flatnonzero(members + probes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cell), i, np.int64)), pa.array(cell), pa.array(members[cell]),
+                 pa.array(probes[cell])], ["block", "cell", "members", "probes"])
+    found = (classes.select("vector").mapInArrow(count, "block long, cell long, members long, probes long")
+             .groupBy("block", "cell").agg(F.sum("members").alias("members"), F.sum("probes").alias("probes"))).toArrow()
+    out = [(np.zeros(t.leaves, np.int64), np.zeros(t.leaves, np.int64)) for t in sent.value.trees]
+    for block, cell, members, probes in zip(*(found.column(c).to_pylist() for c in ("block", "cell", "members", "probes"))):
+        out[block][0][cell], out[block][1][cell] = members, probes
+    return out
+
+
+def _cell_links(blocks: Blocks, threshold: float, chunk: int = 1 << 16):
     def run(table: pa.Table) -> pa.Table:
-        part, block = divmod(int(table.column("cell")[0].as_py()), len(blocks.budgets))
+        block = int(table.column("cell")[0].as_py()) % len(blocks.budgets)
         ids, mult = table.column("id").to_numpy(), table.column("mult").to_numpy()
-        own = table.column("own").to_numpy()
+        role = table.column("role").to_numpy()
         x, turned = blocks.turn(_matrix(table.column("vector"), blocks.dims))
         s, e = blocks.cuts[block], blocks.cuts[block + 1]
         links = np.zeros(len(ids), np.int64)
-        mine, others = np.flatnonzero(own), np.flatnonzero(~own)
+        mine, others = np.flatnonzero(role > 0), np.flatnonzero(role == 0)
 
         def verified():
-            # pairs of members count in the cell's first slice only
-            for rows, same in ([(mine, True)] if part % slices == 0 else []) + [(others, False)]:
+            # pairs of members count in their part's first slice only
+            for rows, same in ([(mine, True)] if (role == 2).any() else []) + [(others, False)]:
                 for m, p in _near_pairs(turned[mine, s:e], turned[rows, s:e], blocks.budgets[block], same):
                     for at in range(0, len(m), chunk):
                         a, b = mine[m[at:at + chunk]], rows[p[at:at + chunk]]
@@ -210,31 +280,22 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     else:
         blocks.trees = [Tree(np.zeros((0, e - s)), 1) for s, e in zip(blocks.cuts, blocks.cuts[1:])]
     sent = spark.sparkContext.broadcast(blocks)
-    per_cell = -(-size["n"] // PROBE_SLICE)  # slices of a cell's probes
+    plans = [Slices(*c) for c in cell_counts(classes, sent)]
     vector_type = classes.schema["vector"].dataType.simpleString()
 
     def deal(batches):
         bl = sent.value
-        k = len(bl.trees)
         for b in batches:
             turned = bl.turn(_matrix(b.column("vector"), bl.dims))[1]
             ids = b.column("low").to_numpy()
-            for i, (tree, budget, s, e) in enumerate(zip(bl.trees, bl.budgets, bl.cuts, bl.cuts[1:])):
-                home = tree.home(turned[:, s:e])
-                q, leaf = tree.walk(turned[:, s:e], budget)
-                q, leaf = q[leaf > home[q]], leaf[leaf > home[q]]
-                # members go to every slice of their cell, a probe to one
-                part = (ids[q] % per_cell).astype(np.int64)
-                at = np.concatenate((np.repeat(np.arange(len(home)), per_cell), q))
-                own = np.arange(len(at)) < len(home) * per_cell
-                cell = np.concatenate((np.repeat(home * per_cell, per_cell) + np.tile(np.arange(per_cell), len(home)),
-                                       leaf * per_cell + part)) * k + i
+            for i, (plan, visits) in enumerate(zip(plans, _visits(bl, turned))):
+                at, number, role = plan.deal(ids, *visits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(ids[at]), b.column("mult").take(pa.array(at)), pa.array(own),
-                     b.column("vector").take(pa.array(at))], ["cell", "id", "mult", "own", "vector"])
-    dealt = classes.mapInArrow(deal, f"cell long, id long, mult long, own boolean, vector {vector_type}")
-    found = cut(dealt.groupBy("cell").applyInArrow(_cell_links(blocks, threshold, per_cell),
-                                                   "a long, b long, n long"), "found")
+                    [pa.array(number * len(plans) + i), pa.array(ids[at]), b.column("mult").take(pa.array(at)),
+                     pa.array(role.astype(np.int8)), b.column("vector").take(pa.array(at))],
+                    ["cell", "id", "mult", "role", "vector"])
+    dealt = classes.mapInArrow(deal, f"cell long, id long, mult long, role byte, vector {vector_type}")
+    found = cut(dealt.groupBy("cell").applyInArrow(_cell_links(blocks, threshold), "a long, b long, n long"), "found")
     roots = components(found.where("a <> b"), "a", "b")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     known = (classes.join(counts, classes["low"] == counts["a"], "left")

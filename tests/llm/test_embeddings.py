@@ -45,6 +45,32 @@ def test_cells_in_slices(spark, monkeypatch):
     _check(spark, _vectors(seed=2))
 
 
+def test_cells_with_too_many_members_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 20)
+    monkeypatch.setattr(embeddings, "SAMPLE_ROWS", 3)        # three cells at most
+    _check(spark, _vectors(seed=3))
+    monkeypatch.setattr(embeddings, "PROBE_SLICE", 100)
+    _check(spark, _vectors(seed=4))
+
+
+def test_only_crowded_cells_are_cut(monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 10)
+    monkeypatch.setattr(embeddings, "PROBE_SLICE", 50)
+    plan = embeddings.Slices(np.array([8, 12, 95, 0]), np.array([0, 120, 10, 3]))
+    assert plan.parts.tolist() == [1, 1, 10, 1] and plan.slices.tolist() == [1, 3, 3, 1]
+    ids, home = np.arange(115), np.repeat([0, 1, 2], [8, 12, 95])
+    row, number, role = plan.deal(ids, home, np.arange(20), np.full(20, 2))
+    members = role > 0
+    assert (np.bincount(row[members]) == plan.slices[home]).all()       # once a slice of its part
+    assert (np.bincount(row[role == 2]) == 1).all()
+    assert ((role == 0) & (row < 20)).sum() == 20 * 10                  # once a part of the visited cell
+    part = (number - plan.start[2]) // 3
+    part_of = {int(r): int(p) for r, p in zip(row[members], part[members]) if r >= 20}
+    met = {(int(r), int(p)) for r, p in zip(row[role == 0], part[role == 0]) if r >= 20}
+    assert set(part_of.values()) == set(range(10))
+    assert met == {(r, p) for r, own in part_of.items() for p in range(own + 1, 10)}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     extra = [(200001, None, 1), (200002, [], 1), (200003, [0.0] * 24, 1), (200004, [nan] + [1.0] * 23, 1),
