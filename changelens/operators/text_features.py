@@ -97,16 +97,19 @@ def doc_keys(df: DataFrame, id_col: str) -> list[str]:
 
 
 def doc_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, doc, tokens) of each document, dealt to parts.  About as large as
-    the texts, so a caller that needs grams twice may keep it.  Tokens are dealt,
+    """(part, doc, tokens) of each document, dealt to parts; the tokens are one
+    text with a space between them (no token holds one), as large as the
+    document's, so a caller that needs grams twice may keep it.  Tokens are dealt,
     not texts: a Python step doesn't pass on how its rows are dealt."""
     tokens = with_tokens(spread(docs.select(id_col, text_col)), text_col, "__tok")
-    return dealt(tokens.select(id_col, "__tok"), id_col)
+    return dealt(tokens.select(id_col, F.array_join("__tok", " ").alias("__tok")), id_col)
 
 
 def token_grams(tokens: DataFrame, id_col: str, n_max: int = 3) -> DataFrame:
     """(part, doc, grams): the 1..n_max-grams of ``doc_tokens``, in order."""
-    return with_ngrams(tokens, "__tok", "grams", 1, n_max).select(*doc_keys(tokens, id_col), "grams")
+    words = F.when(F.col("__tok") == "", F.array().cast("array<string>")).otherwise(F.split("__tok", " "))
+    return with_ngrams(tokens.withColumn("__tok", words), "__tok", "grams", 1, n_max).select(
+        *doc_keys(tokens, id_col), "grams")
 
 
 def doc_grams(docs: DataFrame, id_col: str, text_col: str, n_max: int = 3) -> DataFrame:
