@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, cut_lineage_dealt
+from ..session import cut_lineage, cut_lineage_dealt, run_at_once
 from . import preprocess as PP
 from . import sampling as SM
 from . import text_features as TF
@@ -290,23 +290,23 @@ def platt(scored: DataFrame, label: str = "label", s: str = "s", tolerance: floa
 
 def fit_calibrated(vec: DataFrame, kind: str, params: dict | None = None, folds: int = 3,
                    key_cols: list[str] | None = None, seed: int = SM.SEED, label: str = "label",
-                   members: tuple[CalibratedModel, CalibratedModel] | None = None) -> CalibratedModel:
-    """L4: fit on two folds, calibrate on the third, three times.
+                   members: tuple[CalibratedModel, CalibratedModel] | None = None,
+                   at_once: int = 1) -> CalibratedModel:
+    """L4: fit on two folds, calibrate on the third, three times; up to
+    ``at_once`` folds at a time.
 
     ``members``: a forest and boosted trees fitted on the same rows, folds and
     settings; a vote then takes their fold models instead of fitting them again."""
     key_cols = key_cols or ["__rid"]
     f = cut_lineage(SM.stratified_folds(vec, key_cols, folds, label, seed))
-    parts = []
-    for k in range(folds):
+
+    def fold(k):
         if kind == "vote" and members:
             sc = vote_of(*(m.parts[k][0].models[0] for m in members), params or {})
         else:
             sc = fit_scorer(f.where(F.col("fold") != k), kind, params, seed, label)
-        held = sc.score(f.where(F.col("fold") == k))
-        a, b = platt(held, label)
-        parts.append((sc, a, b))
-    return CalibratedModel(parts)
+        return (sc, *platt(sc.score(f.where(F.col("fold") == k)), label))
+    return CalibratedModel(run_at_once(vec.sparkSession, [lambda k=k: fold(k) for k in range(folds)], at_once))
 
 
 # ---------------------------------------------------------------- search
@@ -325,12 +325,14 @@ def draw_settings(grid: dict, n: int, seed: int = SM.SEED) -> list[dict]:
 
 def random_search(vec: DataFrame, kind: str, grid: dict, n_candidates: int = 8, folds: int = 2,
                   seed: int = SM.SEED, label: str = "label", base: dict | None = None,
-                  key_cols: list[str] | None = None, resample=None) -> tuple[dict, float]:
+                  key_cols: list[str] | None = None, resample=None, at_once: int = 1) -> tuple[dict, float]:
     """``n_candidates`` settings drawn from ``grid``, laid over the ``base``
     settings the model will be fitted with, each scored by macro-F1 over
     ``folds`` md5 folds; returns the best setting and its score (the first of
     ties).  ``resample`` (such as SMOTE) is applied to the training part of each
-    fold only, so no synthetic row is ever scored."""
+    fold only, so no synthetic row is ever scored.  Folds are kept once, and up
+    to ``at_once`` settings are fitted on them at a time; the winner does not
+    depend on it."""
     key_cols = key_cols or ["rid"]
     f = cut_lineage(SM.stratified_folds(vec, key_cols, folds, label, seed))
     settings = draw_settings(grid, n_candidates, seed)
@@ -339,16 +341,16 @@ def random_search(vec: DataFrame, kind: str, grid: dict, n_candidates: int = 8,
         part = f.where(F.col("fold") != k).drop("fold")
         part = cut_lineage(resample(part)) if resample else part
         held = f.where(F.col("fold") == k)
-        fitted = None
-        for i, one in enumerate(settings):
+        # the members of a vote don't depend on what is searched
+        fitted = fit_scorer(part, kind, base, seed, label) if kind == "vote" else None
+
+        def score(one, part=part, held=held, fitted=fitted):
             params = {**(base or {}), **one}
-            if kind == "vote":  # the members don't depend on what is searched
-                fitted = fitted or fit_scorer(part, kind, base, seed, label)
-                sc = vote_of(*fitted.models, params)
-            else:
-                sc = fit_scorer(part, kind, params, seed, label)
+            sc = vote_of(*fitted.models, params) if fitted else fit_scorer(part, kind, params, seed, label)
             pred = sc.score(held).withColumn("pred", (F.col("s") > 0.5).cast("int"))
-            totals[i] += _macro_f1_by(pred, [], label).first()["f1"]
+            return _macro_f1_by(pred, [], label).first()["f1"]
+        for i, f1 in enumerate(run_at_once(vec.sparkSession, [lambda one=one: score(one) for one in settings], at_once)):
+            totals[i] += f1
     best = max(range(len(settings)), key=lambda i: (totals[i], -i))
     return settings[best], totals[best] / folds
 

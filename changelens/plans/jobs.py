@@ -17,6 +17,7 @@ import re
 from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
+from pyspark.ml import PipelineModel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ from ..operators import models as MD
 from ..operators import prepare as P
 from ..operators import reports as RP
 from ..operators import sampling as SM
+from ..operators import stages as ST
 from ..operators.features import feature_table
 from ..operators.preprocess import constant_column_names
 from ..sources import SPLITS, read_changes
-from ..sources.sinks import (display_name, join_path, list_folders, read_text, run_dir, write_report,
-                             write_text)
+from ..sources.sinks import display_name, join_path, list_folders, published_run, write_report
 
 NUMERIC = ([m + "_full" for m in MODEL_METRICS] + [m + "_diff" for m in MODEL_METRICS]
            + ["commit_hour", "commit_day", "filepath_length", "file_change_freq"])
@@ -68,6 +69,7 @@ class Config:
     importance_rows: int = 2000
     importance_repeats: int = 10
     smote: bool = True
+    parallel_fits: int = 2       # fits of folds and search settings that share the cluster at a time
     n_train: int = 193_420       # rows the evaluation's sample sizes derive from (it reads no train split)
     check_sizes: bool = True     # A12; the 0.01 share tolerance needs more than ~50 test rows
 
@@ -177,7 +179,7 @@ def _settings(name: str, conf: Config, train_vec: DataFrame, resample) -> dict:
     params = dict(params) if kind == "vote" else dict(params[kind])
     if conf.search and conf.search_grid.get(name):
         best, _ = MD.random_search(train_vec, kind, conf.search_grid[name], seed=conf.seed, base=params,
-                                   resample=resample)
+                                   resample=resample, at_once=conf.parallel_fits)
         params |= best
     return params
 
@@ -195,8 +197,12 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
     ft, const = features(splits, keep=("rid", "commit", "repo", "filepath", "label"))
     numeric = [c for c in NUMERIC if c not in const]
     cats = [c for c in CATEGORICAL if c not in const]
-    pre = MD.Preprocessor.fit(ft["train"], "rid", numeric, cats, TEXT, conf.max_features, conf.svd_k, conf.max_df)
-    vec = {s: cut_lineage(pre.transform(d, keep=["label", "repo", "filepath", "commit"])) for s, d in ft.items()}
+    vectors = ST.FeatureEstimator(
+        idCol="rid", numericCols=numeric, categoricalCols=cats, textCols=[f"{n}={c}" for n, c in TEXT.items()],
+        maxFeatures=conf.max_features, k=conf.svd_k, maxDf=conf.max_df,
+        keepCols=["label", "repo", "filepath", "commit"]).fit(ft["train"])
+    pre = vectors.state
+    vec = {s: cut_lineage(vectors.transform(d)) for s, d in ft.items()}
     plain = vec["train"].select("rid", "features", "label")
     resample = None
     if conf.smote:
@@ -214,7 +220,8 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
             if kind == "vote" and {"RandomForest", "XGBoost"} <= set(models) and (
                     settings["RandomForest"], settings["XGBoost"]) == (params["rf"], params["gbt"]):
                 members = (models["RandomForest"], models["XGBoost"])
-            cm = MD.fit_calibrated(train_vec, kind, params, key_cols=["rid"], seed=conf.seed, members=members)
+            cm = MD.fit_calibrated(train_vec, kind, params, key_cols=["rid"], seed=conf.seed, members=members,
+                                   at_once=conf.parallel_fits)
         except Exception as e:
             if not out_of_memory(e):
                 raise
@@ -235,10 +242,11 @@ def train(spark: SparkSession, line: dict, jit: dict, conf: Config | None = None
         reports[f"feature_importance_{name}"] = imp
         reports[f"feature_importance_top20_{name}"] = RP.top_n(imp, "importance_mean", 20, "feature")
     if output_dir:
-        reports["output_dir"] = out = run_dir(output_dir)
-        write_reports(reports, out)
-        for name, cm in models.items():
-            save_calibrated(spark, cm, join_path(out, f"{name.lower()}_pipeline_model"))
+        with published_run(spark, output_dir) as (scratch, out):
+            write_reports(reports, scratch)
+            for name, cm in models.items():
+                save_calibrated(spark, cm, join_path(scratch, f"{name.lower()}_pipeline_model"))
+        reports["output_dir"] = out
     return {"models": models, "scores": long, "reports": reports, "preprocessor": pre}
 
 
@@ -349,42 +357,14 @@ def make_reports(long: DataFrame, splits: dict, conf: Config) -> dict[str, DataF
 # -------------------------------------------------------------- save/load
 
 def save_calibrated(spark: SparkSession, cm: MD.CalibratedModel, path: str) -> None:
-    """Fold models (Spark ML format), sigmoid maps and preprocessing state,
-    all on the storage that ``path`` names."""
-    meta = {"parts": []}
-    for i, (sc, a, b) in enumerate(cm.parts):
-        names = []
-        for j, m in enumerate(sc.models):
-            m.write().overwrite().save(join_path(path, f"fold{i}_m{j}"))
-            names.append((type(m).__name__, f"fold{i}_m{j}"))
-        meta["parts"].append({"models": names, "weights": list(sc.weights), "hard": sc.hard, "a": a, "b": b})
-    pre = cm.preprocessor
-    if pre is not None:
-        meta["pre"] = {"id_col": pre.id_col, "numeric": asdict(pre.numeric), "categories": pre.categories,
-                       "n_docs": pre.n_docs,
-                       "text": [{"name": t.name, "column": t.column, "k": t.k} for t in pre.text]}
-        for t in pre.text:
-            t.vocab.write.mode("overwrite").parquet(join_path(path, f"{t.name}_vocab"))
-            t.comps.write.mode("overwrite").parquet(join_path(path, f"{t.name}_comps"))
-    write_text(spark, join_path(path, "meta"), json.dumps(meta))
+    """Preprocessing, fold models and sigmoid maps as one ``PipelineModel``,
+    on the storage that ``path`` names."""
+    ST.as_pipeline(cm).write().session(spark).overwrite().save(path)
 
 
 def load_calibrated(spark: SparkSession, path: str) -> MD.CalibratedModel:
     """The inverse of ``save_calibrated``."""
-    from pyspark.ml import classification as ML
-    from ..operators.preprocess import NumericPrep
-    meta = json.loads(read_text(spark, join_path(path, "meta")))
-    parts = []
-    for p in meta["parts"]:
-        ms = [getattr(ML, cls).load(join_path(path, name)) for cls, name in p["models"]]
-        parts.append((MD.FittedScorer(ms, tuple(p["weights"]), p["hard"]), p["a"], p["b"]))
-    pre = None
-    if "pre" in meta:
-        m = meta["pre"]
-        text = [MD.TextBranch(t["name"], t["column"], spark.read.parquet(join_path(path, f"{t['name']}_vocab")),
-                              spark.read.parquet(join_path(path, f"{t['name']}_comps")), t["k"]) for t in m["text"]]
-        pre = MD.Preprocessor(m["id_col"], NumericPrep(**m["numeric"]), m["categories"], text, m.get("n_docs", 0))
-    return MD.CalibratedModel(parts, pre)
+    return ST.from_pipeline(PipelineModel.read().session(spark).load(path))
 
 
 def load_models(spark: SparkSession, models_dir: str) -> dict:
@@ -419,6 +399,7 @@ def evaluate(spark: SparkSession, models_dir: str, line: dict, jit: dict, conf:
     long = cut_lineage(SM.union_all(scores))
     rep = model_reports(long, conf)
     if output_dir:
-        rep["output_dir"] = out = run_dir(output_dir)
-        write_reports(rep, out)
+        with published_run(spark, output_dir) as (scratch, out):
+            write_reports(rep, scratch)
+        rep["output_dir"] = out
     return {"scores": long, "reports": rep}

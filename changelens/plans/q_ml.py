@@ -144,28 +144,50 @@ def feature_names(spark, sf):
             .where(F.col("n") == len(pre.feature_names())).select(F.col("place").cast("int"), "name"))
 
 
-@register("feature_values", rows="F11,F12", sql=(
+_FEATURE_VALUES_SQL = (
     f"WITH p AS (SELECT p_partkey, p_size, p_retailprice, coalesce({_BRAND}, 'missing') AS v FROM part), "
     "x AS (" + " UNION ALL ".join(
         f"SELECT p_partkey, '{c}' AS name, round(({c}::DOUBLE - avg({c}::DOUBLE) OVER ()) / "
         f"stddev_pop({c}::DOUBLE) OVER (), 9) AS value FROM p" for c in ("p_retailprice", "p_size"))
     + " UNION ALL SELECT p_partkey, 'p_brand_' || c.v, CASE WHEN p.v = c.v THEN 1.0 ELSE 0.0 END::DOUBLE "
       "FROM p, (SELECT DISTINCT v FROM p) c) "
-      "SELECT p_partkey, name, value FROM x"))
+      "SELECT p_partkey, name, value FROM x")
+
+
+@register("feature_values", rows="F11,F12", sql=_FEATURE_VALUES_SQL)
 def feature_values(spark, sf):
     """Every place of the assembled vectors under the name that the vector
     column's attributes give it, kept through a lineage cut."""
-    from pyspark.ml.functions import vector_to_array
-    from ..operators.models import Preprocessor, named_places
+    from ..operators.models import Preprocessor
     p = _brands(spark, sf).withColumn("same", F.lit(1))
     pre = Preprocessor.fit(p, "p_partkey", ["p_retailprice", "p_size", "same"], ["p_brand"])
-    rows = cut_lineage(pre.transform(p))
+    return _named_values(cut_lineage(pre.transform(p)))
+
+
+def _named_values(rows):
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.models import named_places
     names = F.array(*[F.lit(n) for n in named_places(rows)])
     pairs = F.arrays_zip(names.alias("name"), vector_to_array("features").alias("value"))
     return rows.select("p_partkey", F.explode(pairs).alias("x")).select(
         "p_partkey", "x.name", F.round("x.value", 9).alias("value"))
 
 
+@register("saved_pipeline_values", rows="F1-F3,F6,F11,F12,L5,S5,S6", sql=_FEATURE_VALUES_SQL)
+def saved_pipeline_values(spark, sf):
+    """Names and values of the vectors of a Spark ML pipeline that was fitted,
+    saved below the checkpoint folder and loaded again by ``PipelineModel``."""
+    import uuid
+    from pyspark.ml import Pipeline, PipelineModel
+    from ..operators.stages import FeatureEstimator
+    from ..session import ensure_checkpoint_dir
+    p = _brands(spark, sf).withColumn("same", F.lit(1))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    Pipeline(stages=[FeatureEstimator(idCol="p_partkey", numericCols=["p_retailprice", "p_size", "same"],
+                                      categoricalCols=["p_brand"])]).fit(p).write().session(spark).save(path)
+    return _named_values(PipelineModel.read().session(spark).load(path).transform(p))
+
+
 _TOK_SQL = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+')"
 
 

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
+from typing import Callable, Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -79,3 +82,26 @@ def cut_lineage_dealt(df):
         return df.checkpoint(eager=True)
     finally:
         conf.set(name, before)
+
+
+def run_at_once(spark: SparkSession, jobs: Sequence[Callable], at_once: int = 2) -> list:
+    """Results of ``jobs`` in their order, up to ``at_once`` of them running
+    Spark jobs at a time, each thread in a scheduler pool of its own (which
+    shares the cores evenly where the session's scheduler is fair).  The first
+    error, in the order of the jobs, is raised; jobs not begun by then are
+    left out."""
+    if at_once <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    context = spark.sparkContext
+
+    def one(place, job):
+        context.setLocalProperty("spark.scheduler.pool", f"fits-{place % at_once}")
+        return job()
+    with ThreadPoolExecutor(min(at_once, len(jobs))) as threads:
+        begun = [threads.submit(inheritable_thread_target(one), i, job) for i, job in enumerate(jobs)]
+        try:
+            return [b.result() for b in begun]
+        except BaseException:
+            for b in begun:
+                b.cancel()
+            raise

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +55,55 @@ def list_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
 
 
+def _folder(spark: SparkSession, path: str):
+    """The storage that ``path`` names, and the path on it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def published_run(spark: SparkSession, base: str, ts: _dt.datetime | None = None):
+    """An all-or-nothing run folder.  Gives ``(scratch, final)``: all is
+    written below ``scratch``, a hidden folder beside the final one, which takes
+    its name by one rename once the block has ended; a manifest of its tables
+    and bytes follows in ``base/_manifests``.  An error in the block deletes the
+    scratch folder; a killed run leaves it hidden.  An existing run of the same
+    second is refused, never mixed with."""
+    final = run_dir(base, ts)
+    name = final.rsplit("/", 1)[1]
+    scratch = join_path(base, f"_{name}.{uuid.uuid4().hex}")
+    fs, at = _folder(spark, scratch)
+    _, end = _folder(spark, final)
+    if fs.exists(end):
+        raise FileExistsError(final)
+    try:
+        fs.mkdirs(at)
+        yield scratch, final
+        held = {s.getPath().getName(): fs.getContentSummary(s.getPath()).getLength() for s in fs.listStatus(at)}
+        if fs.exists(end) or not fs.rename(at, end):
+            raise FileExistsError(final)
+    except BaseException:
+        fs.delete(at, True)
+        raise
+    write_text(spark, join_path(base, "_manifests", name), json.dumps(held, sort_keys=True))
+
+
+def finished_runs(spark: SparkSession, base: str) -> list[str]:
+    """Run folders whose manifest is there and agrees with what they hold, oldest
+    first.  Where a rename is no single step (object stores), a run is read
+    through this."""
+    out = []
+    for name in list_folders(spark, join_path(base, "_manifests")):
+        fs, at = _folder(spark, join_path(base, name))
+        _, done = _folder(spark, join_path(base, "_manifests", name, "_SUCCESS"))
+        if not fs.exists(done) or not fs.exists(at):
+            continue
+        held = {s.getPath().getName(): fs.getContentSummary(s.getPath()).getLength() for s in fs.listStatus(at)}
+        if held == json.loads(read_text(spark, join_path(base, "_manifests", name))):
+            out.append(join_path(base, name))
+    return out
+
+
 def display_name(stem: str) -> str:
     """Folder stem -> model name -> display name."""
     name = stem.replace("_pipeline_model", "").capitalize()
