@@ -79,6 +79,23 @@ def _entropy(tok: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - acc / n)
 
 
+def token_entropy_by_relation(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
+    """M19 as a relation, for texts too long to sort in a row: ``id_cols`` and
+    ``token_entropy``, a row per id.  Tokens are counted per (id, token), in each task
+    before they are shuffled; a second, again pre-aggregated step adds up
+    H = log2(n) - sum(c*log2 c)/n, so neither a long text nor a common token is one
+    task's work.  NULL, empty and blank texts give 0; texts of one id (NULL is an id)
+    are counted as one; an empty table gives none."""
+    token = df.select(*id_cols, F.explode_outer(T.tokens(F.col(text_col))).alias("__token"))
+    counts = token.groupBy(*id_cols, "__token").agg(F.count("__token").alias("__c"))   # 0 where there is no token
+    c = F.col("__c")
+    sums = counts.groupBy(*id_cols).agg(F.sum("__c").alias("__n"),
+                                        F.sum(F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))).alias("__s"))
+    n = F.col("__n")
+    entropy = F.when(n > 0, F.greatest(F.log2(n) - F.col("__s") / n, F.lit(0.0))).otherwise(F.lit(0.0))
+    return sums.select(*id_cols, entropy.alias("token_entropy"))
+
+
 def _metric_columns(c: Column, ln: Column, nb: Column, tok: Column, ind: Column,
                     nbs: Column, low: Column) -> dict[str, Column]:
     loc = F.size(ln)

@@ -25,6 +25,7 @@ from . import preprocess as PP
 from . import sampling as SM
 from . import text_features as TF
 from .evaluation import score_counts
+from .forest import fit_balanced_forest
 
 # The reference's model settings.  Spark trees stop at depth
 # 30, so an unlimited forest depth maps to MAX_DEPTH.
@@ -193,15 +194,25 @@ class FittedScorer:
         return d.drop(*tmp)
 
 
-def fit_scorer(train: DataFrame, kind: str, params: dict | None, seed: int, label: str = "label") -> FittedScorer:
-    w = class_weights(train, label)
-    tw = _weighted(train, w, label)
+def fit_scorer(train: DataFrame, kind: str, params: dict | None, seed: int, label: str = "label",
+               key_cols: list[str] | None = None) -> FittedScorer:
+    """``classWeight`` among a forest's settings: ``balanced`` (weights of the whole
+    training set, the default) or ``balanced_subsample`` (of each tree's own
+    bootstrap, drawn by ``key_cols``; a fit per tree)."""
+    tw = _weighted(train, class_weights(train, label), label)
+
+    def one(kind, params):
+        p = dict(params or {})
+        how = p.pop("classWeight", "balanced")
+        if how not in ("balanced", "balanced_subsample"):
+            raise ValueError(f"classWeight: {how}")
+        if kind == "rf" and how == "balanced_subsample":
+            return fit_balanced_forest(train, {"maxDepth": MAX_DEPTH, **p}, key_cols, seed, label)
+        return make_estimator(kind, p, seed, label).fit(tw)
     if kind == "vote":
         p = params or {}
-        rf = make_estimator("rf", p.get("rf"), seed, label).fit(tw)
-        gbt = make_estimator("gbt", p.get("gbt"), seed, label).fit(tw)
-        return vote_of(rf, gbt, p)
-    return FittedScorer([make_estimator(kind, params, seed, label).fit(tw)], (1.0,))
+        return vote_of(one("rf", p.get("rf")), one("gbt", p.get("gbt")), p)
+    return FittedScorer([one(kind, params)], (1.0,))
 
 
 def vote_of(rf, gbt, params: dict) -> FittedScorer:
@@ -304,7 +315,7 @@ def fit_calibrated(vec: DataFrame, kind: str, params: dict | None = None, folds:
         if kind == "vote" and members:
             sc = vote_of(*(m.parts[k][0].models[0] for m in members), params or {})
         else:
-            sc = fit_scorer(f.where(F.col("fold") != k), kind, params, seed, label)
+            sc = fit_scorer(f.where(F.col("fold") != k), kind, params, seed, label, key_cols)
         return (sc, *platt(sc.score(f.where(F.col("fold") == k)), label))
     return CalibratedModel(run_at_once(vec.sparkSession, [lambda k=k: fold(k) for k in range(folds)], at_once))
 
@@ -342,11 +353,12 @@ def random_search(vec: DataFrame, kind: str, grid: dict, n_candidates: int = 8,
         part = cut_lineage(resample(part)) if resample else part
         held = f.where(F.col("fold") == k)
         # the members of a vote don't depend on what is searched
-        fitted = fit_scorer(part, kind, base, seed, label) if kind == "vote" else None
+        fitted = fit_scorer(part, kind, base, seed, label, key_cols) if kind == "vote" else None
 
         def score(one, part=part, held=held, fitted=fitted):
             params = {**(base or {}), **one}
-            sc = vote_of(*fitted.models, params) if fitted else fit_scorer(part, kind, params, seed, label)
+            sc = vote_of(*fitted.models, params) if fitted else fit_scorer(part, kind, params, seed, label,
+                                                                                     key_cols)
             pred = sc.score(held).withColumn("pred", (F.col("s") > 0.5).cast("int"))
             return _macro_f1_by(pred, [], label).first()["f1"]
         for i, f1 in enumerate(run_at_once(vec.sparkSession, [lambda one=one: score(one) for one in settings], at_once)):

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRIC_NAMES, with_metrics
+from ..operators import forest as FO
 from ..operators import preprocess as PP
 from ..operators import text_features as TF
 from ..session import cut_lineage, cut_lineage_dealt
@@ -311,6 +312,25 @@ def model_scores(spark, sf):
     return train(spark, line, jit, _config())["scores"].drop("rid")
 
 
+_TREES, _RATE = 10, 0.9
+_DRAWS_SQL = " + ".join(f"(u >= {x!r}e0)::INTEGER" for x in FO.poisson_steps(_RATE))
+
+
+@register("balanced_subsample_weights", rows="L1,R2", sql=(
+    "WITH e AS (SELECT doc_id, quality, tree, ('0x' || substr(md5('42|boot|' || tree || '|' || doc_id), 1, 13))::BIGINT"
+    f"::DOUBLE / 4503599627370496e0 AS u FROM labels, range(0, {_TREES}) t(tree)), "
+    f"d AS (SELECT *, {_DRAWS_SQL} AS n FROM e), "
+    "p AS (SELECT tree, quality, count(*) AS rows, sum(n)::BIGINT AS draws FROM d WHERE n > 0 GROUP BY tree, quality) "
+    "SELECT tree::INTEGER AS tree, quality, rows, draws, round((sum(draws) OVER w)::DOUBLE / (count(*) OVER w * draws), 9) "
+    "AS weight FROM p WINDOW w AS (PARTITION BY tree)"))
+def balanced_subsample_weights(spark, sf):
+    """Bootstraps of ten trees over the quality labels: rows, draws and the weight
+    of a draw per tree and class."""
+    lab = table(spark, sf, "labels")
+    out = FO.subsample_weights(lab, ["doc_id"], _TREES, _RATE, "quality")
+    return out.withColumn("weight", F.round("weight", 9))
+
+
 @register("smote_oversample", rows="B1")
 def smote_oversample(spark, sf):
     """SMOTE over the embeddings: class 0 against the rest, minority

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import context as C
-from ..functions.metrics import METRIC_NAMES, with_metrics
+from ..functions.metrics import METRIC_NAMES, token_entropy_by_relation, with_metrics
 from ..operators import prepare as P
 from ..operators.features import feature_table as build_feature_table
 from . import sqlgen as S
@@ -42,6 +42,16 @@ _metric_query("metrics_flags", "pages", "page_id", "html",
               ["has_try_except", "has_if_else", "uses_torch", "uses_numpy", "uses_cv2",
                "has_return", "has_raise", "has_tab_mix", "has_unclosed_parens"], "M5-M11,M21,M22")
 _metric_query("metrics_entropy", "documents", "doc_id", "text", ["token_entropy"], "M19")
+
+
+@register("metrics_entropy_by_relation", rows="M19", sql=S.metrics_query(
+    "SELECT page_id, html AS c FROM pages", ["page_id"], ["token_entropy"], {"token_entropy": ENTROPY_DIGITS}))
+def metrics_entropy_by_relation(spark, sf):
+    """Token entropy of whole pages from counts per (page, token)."""
+    out = token_entropy_by_relation(table(spark, sf, "pages"), ["page_id"], "html")
+    return out.withColumn("token_entropy", F.round("token_entropy", ENTROPY_DIGITS))
+
+
 _metric_query("metrics_indent", "conversations", "conv_id, turn", "text",
               ["num_indent_levels", "avg_indent_length", "max_indent_length"], "M20,M26,M27")
 _metric_query("metrics_repetition", "documents", "doc_id", "text",

@@ -98,7 +98,7 @@ def run_at_once(spark: SparkSession, jobs: Sequence[Callable], at_once: int = 2)
         context.setLocalProperty("spark.scheduler.pool", f"fits-{place % at_once}")
         return job()
     with ThreadPoolExecutor(min(at_once, len(jobs))) as threads:
-        begun = [threads.submit(inheritable_thread_target(one), i, job) for i, job in enumerate(jobs)]
+        begun = [threads.submit(inheritable_thread_target(spark)(one), i, job) for i, job in enumerate(jobs)]
         try:
             return [b.result() for b in begun]
         except BaseException:

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from changelens.functions import context as C
 from changelens.functions.metrics import METRIC_NAMES, metric_type, metrics_two_sided, with_metrics
@@ -150,3 +151,16 @@ def test_clean_code_by_hand(spark):
              "a\xa0b\x1cc\u3000d": "a\xa0b\nc\u3000d", "\xa0 a \u3000": "a"}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert [r[0] for r in df.select(C.clean_code("t")).collect()] == list(cases.values())
+
+
+def test_entropy_by_relation_equals_the_metric(spark):
+    from changelens.functions.metrics import token_entropy_by_relation, with_metrics
+    rows = [(1, "a b a\tc  a\n"), (2, ""), (3, None), (4, " \n\t "), (5, "x x x"), (6, "one two"), (None, "p q p"),
+            (7, "w " * 200_000 + " ".join(f"t{i % 1000}" for i in range(100_000)))]
+    df = spark.createDataFrame(rows, "id int, body string").withColumn("token_entropy", F.lit("clash"))
+    got = {r.id: r.token_entropy for r in token_entropy_by_relation(df, ["id"], "body").collect()}
+    want = {r.id: r.token_entropy for r in with_metrics(df.drop("token_entropy"), "body", names=["token_entropy"]).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and got[5] == 0.0 and got[6] == 1.0
+    assert token_entropy_by_relation(df.limit(0), ["id"], "body").count() == 0
+    plan = token_entropy_by_relation(df, ["id"], "body")._jdf.queryExecution().toString()
+    assert "Sort" not in plan.split("== Physical Plan ==")[1]

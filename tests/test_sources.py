@@ -75,3 +75,29 @@ def test_no_scratch_folder_off_a_local_master():
         sparkContext, conf = Context(), {}
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_a_run_appears_whole_or_not_at_all(spark, tmp_path):
+    import datetime as dt
+    import os
+    from changelens.sources.sinks import finished_runs, list_folders, published_run, write_report
+    base, df = f"file://{tmp_path}/runs", spark.createDataFrame([(1, "a")], "x int, y string")
+    when = dt.datetime(2024, 1, 2, 3, 4, 5)
+    with pytest.raises(RuntimeError, match="between two tables"):
+        with published_run(spark, base, when) as (scratch, final):
+            write_report(df, f"{scratch}/one")
+            assert not os.path.exists(final.removeprefix("file://"))     # readers see none of it
+            raise RuntimeError("between two tables")
+    assert list_folders(spark, base) == [] and finished_runs(spark, base) == []
+    with published_run(spark, base, when) as (scratch, final):
+        write_report(df, f"{scratch}/one")
+        write_report(df, f"{scratch}/two", "parquet")
+    assert final.endswith("run_20240102_030405") and finished_runs(spark, base) == [final]
+    assert list_folders(spark, final) == ["one", "two"]
+    with pytest.raises(FileExistsError):                                 # a second run of that second
+        with published_run(spark, base, when):
+            pass
+    # a run that lost a file is not read
+    part = next(p for p in (tmp_path / "runs" / "run_20240102_030405" / "two").iterdir() if p.suffix == ".parquet")
+    part.write_bytes(b"")
+    assert finished_runs(spark, base) == []
