@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import run_at_once
@@ -39,7 +39,9 @@ def draws(key_cols: list[str], tree: Column | int, rate: float, seed: int = SM.S
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("boot"), tree.cast("string"),
                           *[F.col(c).cast("string") for c in key_cols]))
     place = F.conv(F.substring(h, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    return sum(((place >= F.lit(s)).cast("int") for s in poisson_steps(rate)), F.lit(0))
+    # as the element of an array the place is computed once, not once a step
+    return F.transform(F.array(place), lambda u: sum(((u >= F.lit(s)).cast("int") for s in poisson_steps(rate)),
+                                                     F.lit(0)))[0]
 
 
 def subsample_weights(df: DataFrame, key_cols: list[str], trees: int, rate: float = 0.9, label: str = "label",
@@ -50,9 +52,9 @@ def subsample_weights(df: DataFrame, key_cols: list[str], trees: int, rate: floa
     each = df.select(*key_cols, label, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     each = each.withColumn("n", draws(key_cols, F.col("tree"), rate, seed)).where(F.col("n") > 0)
     per = each.groupBy("tree", label).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("draws"))
-    total = per.groupBy("tree").agg(F.sum("draws").alias("all"), F.count(F.lit(1)).alias("classes"))
-    return per.join(total, "tree").select(
-        "tree", label, "rows", "draws", (F.col("all") / (F.col("classes") * F.col("draws"))).alias("weight"))
+    tree = Window.partitionBy("tree")                    # a row per class
+    return per.select("tree", label, "rows", "draws", (F.sum("draws").over(tree) / (
+        F.count(F.lit(1)).over(tree) * F.col("draws"))).alias("weight"))
 
 
 def fit_balanced_forest(train: DataFrame, params: dict | None = None, key_cols: list[str] | None = None,
