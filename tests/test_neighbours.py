@@ -38,6 +38,32 @@ def test_few_rows_and_nulls(spark):
     assert neighbours.knn_exact(df.limit(0), "id", "v").collect() == []
 
 
+def test_nearest_is_exact_where_a_matrix_product_rounds():
+    r = np.random.default_rng(9)
+    y = 1e6 + r.integers(0, 4, (700, 16)) * 1e-3  # large values, small and equal distances
+    x, ids = y[:300], [f"p{i}" for i in range(700)]
+    d = neighbours._squared(x, y)
+    got = [np.concatenate(v) for v in zip(*neighbours._nearest(ids[:300], x, ids, y, 5))]
+    want = [(i, j, d[i, j]) for i in range(300)
+            for j in sorted((j for j in range(700) if j != i), key=lambda j: (d[i, j], ids[j]))[:5]]
+    assert list(zip(*(v.tolist() for v in got))) == want
+    y[3], y[5, 2] = np.inf, np.nan
+    row = np.concatenate([v[0] for v in neighbours._nearest(ids[:300], y[:300], ids, y, 5)])
+    assert np.array_equal(np.unique(row), np.setdiff1d(np.arange(300), [3, 5]))
+
+
+def test_cells_are_bundled():
+    """A point is sent to a bundle of small cells once, not to each cell."""
+    r = np.random.default_rng(6)
+    cells = neighbours._Cells(r.normal(size=(60, 16)))
+    cells.size[:] = r.integers(0, 40, 60)
+    cells.size[7] = 900
+    bundle = neighbours._bundles(cells, 200)
+    held = np.bincount(bundle, weights=cells.size)
+    assert held[bundle[7]] == 900 and np.delete(held, bundle[7]).max() <= 200
+    assert len(held) <= 2 + 2 * cells.size.sum() // 200
+
+
 def test_recall_on_the_embeddings(spark):
     """The library's defaults, on a class and on all points."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
