@@ -71,3 +71,13 @@ def test_few_rows_are_shuffled(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "id long, text string")
     assert TF.vocabulary(TF.frequent_stats(_grams(docs), "id", 0), 0).count() == 0
+
+
+def test_only_texts_with_other_characters_pass_through_python(spark, monkeypatch):
+    texts = ["Plain TEXT", "", None, "École déjà", "naïve x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.tokens for r in TF.with_tokens(df, "text").collect()}
+    assert got == {0: ["plain", "text"], 1: [], 2: None, 3: ["ecole", "deja"], 4: ["naive", "x"]}
+    monkeypatch.setattr(TF, "strip_accents", lambda c: F.concat(F.lit("python "), c))
+    got = {r.id: r.tokens for r in TF.with_tokens(df, "text").collect()}
+    assert [k for k, v in got.items() if v and v[0] == "python"] == [3, 4]
