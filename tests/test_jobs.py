@@ -4,6 +4,7 @@ import os
 
 import pytest
 from conftest import SF_SMALL
+from pyspark.errors import PySparkException
 
 
 def test_size_check_raises(spark):
@@ -85,3 +86,21 @@ def test_texts_join_only_the_chosen_rows(spark):
     assert sorted((r.commit, r.label, len(r.content_full)) for r in out.collect()) == [
         ("c0", 1, 1), ("c0", 1, 50), ("c1", 0, 50), ("c1", 0, 50), ("c2", 1, 50)]
     assert {"datetime", "content_diff", "lines"} <= set(out.columns)
+
+
+def test_a_model_without_memory_ends_the_run(spark, monkeypatch):
+    """No scores that lack a configured model."""
+    from changelens.plans import jobs
+    from changelens.plans import standins as SI
+    fit = jobs.MD.fit_calibrated
+
+    def failing(df, kind, *args, **kwargs):
+        if kind == "gbt":
+            raise PySparkException("Job aborted: java.lang.OutOfMemoryError: Java heap space")
+        return fit(df, kind, *args, **kwargs)
+    monkeypatch.setattr(jobs.MD, "fit_calibrated", failing)
+    line, jit = SI.doc_splits(spark, SF_SMALL)
+    conf = jobs.Config(rf_params={"numTrees": 2, "maxDepth": 2}, models=("XGBoost", "RandomForest"), max_features=50,
+                       svd_k=2, check_sizes=False, importance=False, smote=False)
+    with pytest.raises(PySparkException, match="OutOfMemory"):
+        jobs.train(spark, line, jit, conf)
