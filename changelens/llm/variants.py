@@ -194,10 +194,13 @@ def near_words(words: DataFrame, parts: int = 3, pieces: int = 3, crowd: int = 2
 
 
 def _verified(keys: DataFrame) -> DataFrame:
-    """Pairs under a key whose edit distance is one, the shorter word first."""
+    """Pairs under a key whose edit distance is one, the shorter word first.
+
+    Spark sizes ``keys`` as the words' file, though it has a row per signature,
+    stretch and role; the hint keeps it from broadcasting them."""
     a = keys.where("role = 0").select("key", "word", "n")
     b = keys.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), "role")
-    pairs = a.join(b, "key").where(((F.col("role") == 1) | (F.col("word") < F.col("near")))
+    pairs = a.join(b.hint("merge"), "key").where(((F.col("role") == 1) | (F.col("word") < F.col("near")))
                                    & (F.levenshtein("word", "near", 1) == 1))
     return pairs.select("word", "n", "near", "near_n")
 
@@ -205,11 +208,12 @@ def _verified(keys: DataFrame) -> DataFrame:
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) from (word, form): ``form`` followed to its last.  Each
     round doubles the steps made, so the rounds are the logarithm of the longest
-    chain (n grows tenfold with each step)."""
+    chain (n grows tenfold with each step).  The hint is for the size of the files,
+    which hold a word in a few bytes: as a broadcast it takes many times that."""
     at = cut(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = at.select(F.col("word").alias("via"), F.col("root").alias("next"))
-        at = cut(at.join(further, at["root"] == further["via"], "left")
+        at = cut(at.join(further.hint("merge"), at["root"] == further["via"], "left")
                  .select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")),
                  "roots")
         if not at.where("moved").take(1):
@@ -242,5 +246,5 @@ def spelling_variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "word", F.when(taken, F.col("b.w")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(taken, -F.col("b.m")).alias("form_n")), "forms")
     last = roots(out.where(F.col("form").isNotNull()))
-    return out.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n",
+    return out.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n",
                                                  "n_near", "form_n")

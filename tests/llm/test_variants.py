@@ -102,3 +102,13 @@ def test_signatures_of_near_words_meet(spark):
     label, word = variants.dimensions(pa.array(["abab", "b"]))
     found = [(int(x) // variants.LABELS, int(x) % variants.LABELS, int(w)) for x, w in zip(label, word)]
     assert sorted(found) == [(97, 0, 0), (97, 1, 0), (98, 0, 0), (98, 0, 1), (98, 1, 0)]
+
+
+def test_exploded_keys_are_not_broadcast(spark, tmp_path):
+    """The words' file is small; their keys are 18 rows a word."""
+    spark.createDataFrame([(f"word{i}", 2) for i in range(50)], "word string, n long").write.parquet(f"{tmp_path}/w")
+    words = spark.read.parquet(f"{tmp_path}/w")
+    keys = variants._keys(variants.signatures(words), 3, 3)
+    assert keys.count() == 18 * 50
+    plan = variants._verified(keys)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
