@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from py4j.protocol import Py4JError
@@ -137,3 +139,34 @@ def test_forest_importance_finds_what_the_label_is_made_of(spark):
     got = {r.feature: r.importance_mean for r in forest_importance(spark, "/root/testdata/sf0.01").collect()}
     assert set(got) == {"p_retailprice", "p_size", "p_brand", "p_type"}
     assert got["p_type"] > 0.2 and abs(got["p_size"]) < 0.1 and abs(got["p_brand"]) < 0.1
+
+
+def test_no_point_is_shuffled_per_visit(spark):
+    """Vectors that no cell keeps apart, so that all slices are visited: the plan of
+    the search holds no vector, and what is written is the points once."""
+    from changelens.session import ensure_checkpoint_dir
+    r = np.random.default_rng(11)
+    x = r.normal(size=(1500, 24))
+    df = spark.createDataFrame(list(zip(range(1500), x.tolist())), "id long, v array<double>").cache()
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {os.path.join(d, f) for d, _, names in os.walk(top) for f in names}
+    out = neighbours.knn_exact(df, "id", "v", 5, slice_rows=100)
+    got = sorted((r.src, r.nb, r.place, round(r.dist, 9)) for r in out.collect())
+    new = {os.path.join(d, f) for d, _, names in os.walk(top) for f in names} - before
+    assert got == _brute(list(range(1500)), x, 5)
+    assert sum(map(os.path.getsize, new)) < 1.5 * x.nbytes
+    assert "array<double>" not in out._jdf.queryExecution().analyzed().treeString()
+    assert "CoGroup" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_what_is_seen_later_only_counts_if_nearer():
+    r = np.random.default_rng(12)
+    x = r.integers(0, 3, (300, 6)).astype(float)  # many ties
+    ids = np.array([f"p{i:03}" for i in range(300)], object)
+    d = neighbours._squared(x, x)
+    found, mine = neighbours._Found(40, 5), np.arange(40)
+    for part in np.split(r.permutation(300), [3, 90, 200]):
+        found.add(mine, ids[:40], x[:40], ids[part], x[part])
+    want = [(i, ids[j], d[i, j]) for i in range(40)
+            for j in sorted((j for j in range(300) if j != i), key=lambda j: (d[i, j], ids[j]))[:5]]
+    assert list(zip(found.row.tolist(), found.nb.tolist(), found.sq.tolist())) == want
