@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,49 @@ def test_only_texts_with_other_characters_pass_through_python(spark, monkeypatch
     monkeypatch.setattr(TF, "strip_accents", lambda c: F.concat(F.lit("python "), c))
     got = {r.id: r.tokens for r in TF.with_tokens(df, "text").collect()}
     assert [k for k, v in got.items() if v and v[0] == "python"] == [3, 4]
+
+
+def _odd(spark):
+    """Repeated and null ids, null and empty texts, short ones, accents, in more than one part."""
+    rows = [(1, "a b a b a b c"), (1, "b c a b"), (None, "a b"), (None, "c Écran a b"), (2, None), (3, ""), (4, "a"),
+            (5, "écran écran"), (6, "z"), (7, "a b c a b c"), (8, "_ 9 _ 9")]
+    return spark.createDataFrame(rows, "id long, text string")
+
+
+def test_grams_counted_as_numbers_of_words(spark):
+    grams = _grams(_odd(spark))
+    counts = TF.term_counts(grams, "id").cache()
+    here = counts.join(grams.select(TF.PART, "id").distinct(), [TF.PART]).select(TF.PART, "term").distinct()
+    for least in (1, 2, 3):
+        want = counts.groupBy(TF.PART, "term").agg(F.sum("tf").alias("cf")).where(F.col("cf") >= least)
+        got = grams.select(TF.TOKENS).mapInArrow(TF._frequent_here(least), "term string, cf long")
+        assert sorted(tuple(r) for r in got.collect()) == sorted((r.term, r.cf) for r in want.collect())
+    some = spark.createDataFrame([("a",), ("a b",), ("b c a",), ("ecran",), ("9 _ 9",), ("not there",)], "term string")
+    want = TF.term_stats(counts.join(some, "term", "left_semi"))
+    got = TF._exact_stats(grams, "id", some).select("term", "df", "cf")
+    assert here.count() and sorted(tuple(r) for r in got.collect()) == sorted((r.term, r.df, r.cf) for r in want.collect())
+
+
+def test_document_weights_are_those_of_tfidf(spark):
+    docs = _odd(spark)
+    n, grams = docs.count(), _grams(docs)
+    vocab = TF.vocabulary(TF.term_stats(TF.term_counts(grams, "id").where("term <> 'z'")), n, 12).cache()
+    want = TF.tfidf(TF.term_counts(grams, "id", vocab), vocab, "id", n).collect()
+    got = TF.document_weights(grams, vocab, "id", n)
+    assert TF.document_rows(got, "id") is got
+    found = {(r.id, i): w for r in got.collect() for i, w in zip(r.i, r.w)}
+    assert {(r.id, r["index"]): pytest.approx(r.weight, abs=1e-12) for r in want} == found
+    assert len(found) == len(want) == sum(len(r.i) for r in got.collect()) and not any(r.twice for r in got.collect())
+    empty = _grams(docs.limit(0))
+    assert TF.document_weights(empty, vocab, "id", n).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, TF._DRIVER_BYTES])
+def test_products_are_summed_over_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(TF, "_DRIVER_BYTES", most)
+    rows = spark.createDataFrame([([0, 1200], [1.0, 2.0], False), ([1200], [3.0], False), ([5, 5], [0.5, 0.5], True)],
+                                 "i array<int>, w array<double>, twice boolean").repartition(3)
+    z = np.random.default_rng(3).standard_normal((1300, 4))
+    x = np.zeros((3, 1300))
+    x[0, 0], x[0, 1200], x[1, 1200], x[2, 5] = 1, 2, 3, 1
+    assert np.abs(TF._normal_product(spark, rows, z) - x.T @ (x @ z)).max() < 1e-12
